@@ -9,6 +9,7 @@ from strataweave.llm.heavy_hitters import top_k
 from strataweave.llm.mixing import mix
 from strataweave.llm.packing import CAPACITY, pack
 from strataweave.llm.percentiles import merge_states, percentiles, value_state
+from strataweave.llm.review import THRESHOLD, rates, scores
 from strataweave.llm.topn import top_n
 from strataweave.sources import table
 
@@ -105,6 +106,20 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_shares(spark, sf_dir).where("is_short").select("source")
 
 
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, likely verdict and evidence of every document."""
+    return scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"), table(spark, sf_dir, "term_list"))
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and flagged documents per source."""
+    return rates(p9_scores(spark, sf_dir))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
+
+
 _PEOPLE = """
 people AS (SELECT id, dept_id, salary FROM employees WHERE id IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC) = 1),
@@ -134,6 +149,9 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
+    "p9_rates": p9_rates,
 }
 
 ORACLE = {
