@@ -15,7 +15,7 @@ from typing import NamedTuple
 import numpy as np
 
 BLOCK_EXAMPLES = 64
-_CELLS = 4_000_000
+_CELLS = 1_000_000
 
 
 class Vectors(NamedTuple):

@@ -34,8 +34,8 @@ from strataweave.sources.storage import materialize
 
 VERDICTS = ("abusive", "hateful", "sexual")
 #: Bounds of the labelled sample, positive and clean documents.
-MAX_POSITIVE = 6_000
-MAX_CLEAN = 10_000
+MAX_POSITIVE = 5_000
+MAX_CLEAN = 8_000
 NEIGHBOURS = 12
 FLOOR = 0.35
 #: Weight of the prior in a vote, in examples with cosine 1.
