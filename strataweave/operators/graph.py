@@ -147,20 +147,18 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, write_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
     """``id, rank``, adding up to 1. Repeated edges count; the rank of vertices without an outgoing edge is spread evenly."""
     ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     n = ids.count()
     out = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n_out"))
     links = materialize(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).join(out, "src").select("src", "dst", (F.col("k") / F.col("n_out")).alias("part")), "links")
     ranks = materialize(ids.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")), "id", "left").withColumn("rank", F.lit(1.0 / max(n, 1))), "ranks")
-    for i in range(iterations):
+    for _ in range(iterations):
         loose = ranks.where("linked is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         given = ranks.join(links, ranks["id"] == links["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
         new = F.lit((1 - damping + damping * loose) / n) + damping * F.coalesce("got", F.lit(0.0))
-        ranks = ranks.join(given, ranks["id"] == given["dst"], "left").select("id", "linked", new.alias("rank"))
-        if i % write_every == write_every - 1:
-            ranks = materialize(ranks, "ranks")
+        ranks = materialize(ranks.join(given, ranks["id"] == given["dst"], "left").select("id", "linked", new.alias("rank")), "ranks")
     return ranks.select("id", "rank")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,9 +110,6 @@ def undo_deltas(df: DataFrame, by: Sequence[str], order: Sequence[str], first: s
 
 def xor_with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """``bits`` of a double XOR those of the row before (0 for the first): runs of equal values become zeros."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("long")
     def xor(a: pd.Series, b: pd.Series) -> pd.Series:
         x, y = (s.fillna(0.0).to_numpy(np.float64).view(np.int64) for s in (a, b))

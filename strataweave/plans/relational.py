@@ -15,7 +15,11 @@ plans = Plans()
 QUERIES, ORACLE = plans.queries, plans.oracle
 add = plans.add
 col = F.col
-n_rows = F.count(F.lit(1))
+
+
+def n_rows():
+    return F.count(F.lit(1))
+
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +39,7 @@ def _(t: Tables):
         .join(t.part.select("p_partkey"), col("l_partkey") == col("p_partkey"))
         .join(t.customer, col("o_custkey") == col("c_custkey"))
         .groupBy(col("c_mktsegment").alias("segment"))
-        .agg(F.round(F.sum(col("l_extendedprice") * (1 - col("l_discount"))), 2).alias("revenue"), n_rows.alias("n_items"))
+        .agg(F.round(F.sum(col("l_extendedprice") * (1 - col("l_discount"))), 2).alias("revenue"), n_rows().alias("n_items"))
         .orderBy(col("revenue").desc())
         .limit(10)
     )
@@ -154,7 +158,7 @@ def _(t):
 
 @add("derived_table", "SELECT seg, max(n) AS most FROM (SELECT c_mktsegment AS seg, c_nationkey AS k, count(*) AS n FROM (SELECT * FROM customer WHERE c_acctbal > 0) a GROUP BY 1, 2) b GROUP BY seg")
 def _(t):
-    return t.customer.where("c_acctbal > 0").groupBy(col("c_mktsegment").alias("seg"), "c_nationkey").agg(n_rows.alias("n")).groupBy("seg").agg(F.max("n").alias("most"))
+    return t.customer.where("c_acctbal > 0").groupBy(col("c_mktsegment").alias("seg"), "c_nationkey").agg(n_rows().alias("n")).groupBy("seg").agg(F.max("n").alias("most"))
 
 
 _CTE = """WITH spent AS (SELECT o_custkey AS k, sum(o_totalprice) AS s FROM {orders} GROUP BY 1),
@@ -245,7 +249,7 @@ def _(t):
         .join(t.nation, col("c_nationkey") == col("n_nationkey"))
         .join(t.region, col("n_regionkey") == col("r_regionkey"))
         .groupBy("r_name")
-        .agg(n_rows.alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+        .agg(n_rows().alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
     )
 
 
@@ -343,7 +347,7 @@ def _(t):
             F.round(F.sum("l_extendedprice"), 2).alias("sum_base"),
             F.round(F.sum(col("l_extendedprice") * (1 - col("l_discount"))), 2).alias("sum_disc"),
             F.round(F.avg("l_discount"), 6).alias("avg_disc"),
-            n_rows.alias("n"),
+            n_rows().alias("n"),
         )
     )
 
@@ -364,13 +368,13 @@ def _(t):
     sum(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END)::BIGINT AS p FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1""",
 )
 def _(t):
-    p = t.orders.join(t.customer, col("o_custkey") == col("c_custkey")).groupBy(col("c_mktsegment").alias("segment")).pivot("o_orderstatus", ["F", "O", "P"]).agg(n_rows)
+    p = t.orders.join(t.customer, col("o_custkey") == col("c_custkey")).groupBy(col("c_mktsegment").alias("segment")).pivot("o_orderstatus", ["F", "O", "P"]).agg(n_rows())
     return p.select("segment", *(F.coalesce(col(x), F.lit(0)).alias(x.lower()) for x in "FOP"))
 
 
 @add("monthly_revenue", "SELECT CAST(extract(YEAR FROM o_orderdate) AS INT) AS y, CAST(extract(MONTH FROM o_orderdate) AS INT) AS m, count(*) AS n FROM orders GROUP BY 1, 2")
 def _(t):
-    return t.orders.groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg(n_rows.alias("n"))
+    return t.orders.groupBy(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).agg(n_rows().alias("n"))
 
 
 @add("array_agg", "SELECT c_nationkey, list_sort(list(c_custkey)) AS keys FROM customer WHERE c_acctbal > 9000 GROUP BY 1")
@@ -380,7 +384,7 @@ def _(t):
 
 @add("group_json", "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy(F.get_json_object("props", "$.k").alias("k")).agg(n_rows.alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return t.events.groupBy(F.get_json_object("props", "$.k").alias("k")).agg(n_rows().alias("n"), F.round(F.avg("value"), 4).alias("mean"))
 
 
 for _name, _sql, _f in (
@@ -388,7 +392,7 @@ for _name, _sql, _f in (
     ("rollup", "ROLLUP (o_orderstatus, o_orderpriority)", lambda o: o.rollup("o_orderstatus", "o_orderpriority")),
     ("grouping_sets", "GROUPING SETS ((o_orderstatus), (o_orderpriority))", lambda o: o.groupingSets([["o_orderstatus"], ["o_orderpriority"]], "o_orderstatus", "o_orderpriority")),
 ):
-    add(f"agg_{_name}", f"SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY {_sql}")(lambda t, f=_f: f(t.orders).agg(n_rows.alias("n")).select("o_orderstatus", "o_orderpriority", "n"))
+    add(f"agg_{_name}", f"SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY {_sql}")(lambda t, f=_f: f(t.orders).agg(n_rows().alias("n")).select("o_orderstatus", "o_orderpriority", "n"))
 
 
 # Statistics
@@ -457,12 +461,15 @@ def _(t):
 def _(t):
     last = t.events.agg(F.max("ts").alias("last"))
     recent = t.events.join(F.broadcast(last), col("ts") > col("last") - F.expr("INTERVAL 60 MINUTE"))  # one row
-    return recent.groupBy("event_type").agg(n_rows.alias("n"), F.sum(F.when(col("value") > 50, 1).otherwise(0)).alias("n_high"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    return recent.groupBy("event_type").agg(n_rows().alias("n"), F.sum(F.when(col("value") > 50, 1).otherwise(0)).alias("n_high"), F.round(F.avg("value"), 4).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
 # Windows
 
-_W = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
+def _by_customer():
+    return Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+
 
 
 @add(
@@ -484,7 +491,7 @@ def _(t):
 
 @add("win_lag_lead", "SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey, 2) OVER w AS after FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
 def _(t):
-    return t.orders.select("o_orderkey", F.lag("o_orderkey").over(_W).alias("before"), F.lead("o_orderkey", 2).over(_W).alias("after"))
+    return t.orders.select("o_orderkey", F.lag("o_orderkey").over(_by_customer()).alias("before"), F.lead("o_orderkey", 2).over(_by_customer()).alias("after"))
 
 
 @add(
@@ -492,7 +499,7 @@ def _(t):
     """SELECT o_orderkey, round(avg(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 4) AS moving FROM orders""",
 )
 def _(t):
-    return t.orders.select("o_orderkey", F.round(F.avg("o_totalprice").over(_W.rowsBetween(-2, 0)), 4).alias("moving"))
+    return t.orders.select("o_orderkey", F.round(F.avg("o_totalprice").over(_by_customer().rowsBetween(-2, 0)), 4).alias("moving"))
 
 
 @add(
@@ -500,7 +507,7 @@ def _(t):
     "SELECT s_suppkey, count(*) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey RANGE BETWEEN 20 PRECEDING AND 20 FOLLOWING) AS near FROM supplier",
 )
 def _(t):
-    return t.supplier.select("s_suppkey", n_rows.over(Window.partitionBy("s_nationkey").orderBy("s_suppkey").rangeBetween(-20, 20)).alias("near"))
+    return t.supplier.select("s_suppkey", n_rows().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey").rangeBetween(-20, 20)).alias("near"))
 
 
 @add("topk_per_group", "SELECT o_custkey, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
