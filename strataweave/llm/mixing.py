@@ -44,7 +44,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 0, block_tokens: int =
     max_repeats`` (a short table; it is collected). ``chosen``: ``doc_id, source,
     repeat_no (from 0), slot, tokens``, to be read in the order of ``slot``, then
     ``doc_id``. ``shares``: ``source, target_share, available_tokens,
-    wanted_tokens, used_tokens, reached_share, is_short``; short are sources whose
+    wanted_tokens, used_tokens, reached_share, is_short``; the reached share is null where nothing is chosen at all; short are sources whose
     documents do not reach the wanted size with all repeats.
 
     Documents of a source without a target, and of a null source, are not chosen
@@ -105,7 +105,7 @@ _SHARES = "source string, target_share double, available_tokens long, wanted_tok
 
 def _shares(chosen: DataFrame, plan: DataFrame) -> DataFrame:
     used = chosen.groupBy("source").agg(F.sum("tokens").alias("used_tokens"))
-    reached = F.col("used_tokens") / F.sum("used_tokens").over(Window.partitionBy(F.lit(0)))  # one row a target
+    reached = F.try_divide("used_tokens", F.sum("used_tokens").over(Window.partitionBy(F.lit(0))))  # one row a target
     return (
         plan.join(used, "source", "left")
         .withColumn("used_tokens", F.coalesce("used_tokens", F.lit(0)))
