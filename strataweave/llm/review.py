@@ -39,11 +39,14 @@ MAX_CLEAN = 8_000
 NEIGHBOURS = 12
 FLOOR = 0.35
 #: Weight of the prior in a vote, in examples with cosine 1.
-PRIOR_WEIGHT = 0.4
+PRIOR_WEIGHT = 0.1
 #: Weight of a passage of a positive document that has no other example near: with a listed term, and without.
 LONELY_WEIGHT = (0.8, 0.25)
+#: Weight of a listed term as an example, and the least severity it takes.
+TERM_WEIGHT = 0.6
+TERM_SEVERITY = 2
 _MARKS = 8_000_000
-THRESHOLD = 0.3
+THRESHOLD = 0.5
 
 
 class Words:
@@ -191,13 +194,15 @@ def vote(index: BlockMaxIndex, q: Vectors, positive: np.ndarray, clean: np.ndarr
     return (yes + PRIOR_WEIGHT * prior / positive.shape[1]) / (yes.sum(1) + no + PRIOR_WEIGHT)[:, None], yes.sum(1) + no
 
 
-def fit(sample: list[Labelled], words: Words, document_frequency: np.ndarray, n_docs: int, terms: Iterable[str] = ()) -> Model | None:
-    """Examples and their votes; None without a positive document.
+def fit(sample: list[Labelled], words: Words, document_frequency: np.ndarray, n_docs: int, terms: Iterable[Labelled] = ()) -> Model | None:
+    """Examples and their votes; None without a positive document or term.
 
-    ``terms`` lend weight to examples that stand alone; they score nothing themselves.
+    ``terms`` are examples of their own with a lower weight, and lend weight to
+    passages that contain them and stand alone.
     """
+    terms = list(terms)
     n_bad = sum(bool(d.verdict) for d in sample)
-    if not n_bad:
+    if not n_bad and not terms:
         return None
     usual = np.median(document_frequency[document_frequency > 0]) if (document_frequency > 0).any() else 1
     idf = np.log(1 + n_docs / np.maximum(1, np.r_[document_frequency, usual]))
@@ -205,6 +210,7 @@ def fit(sample: list[Labelled], words: Words, document_frequency: np.ndarray, n_
     for d in sample:
         for p in d.passages:
             number.setdefault(p, len(number))
+    term_ids = [(number.setdefault(p, len(number)), VERDICTS.index(t.verdict)) for t in terms for p in t.passages]
     texts = pa.array(list(number), pa.string())
     vectors = tf_idf(*words.encode(texts), idf)
     clean, bad = np.zeros(len(number)), np.zeros((len(number), len(VERDICTS)))
@@ -220,7 +226,7 @@ def fit(sample: list[Labelled], words: Words, document_frequency: np.ndarray, n_
     # A passage known from clean documents as often as from others is not one of them.
     some = np.flatnonzero((bad.sum(1) > 0) & (clean <= bad.sum(1)))
     share, weight = np.zeros(len(number)), np.zeros(len(number))
-    base = n_bad / len(sample)
+    base = n_bad / max(1, len(sample))
     votes, mass = vote(index, vectors.pick(some), bad, clean, base, 0.5)
     share[some], weight[some] = votes.sum(1), mass
     meant = np.zeros_like(bad)
@@ -238,19 +244,20 @@ def fit(sample: list[Labelled], words: Words, document_frequency: np.ndarray, n_
     alone = (again.sum(1) * (mass + PRIOR_WEIGHT) - 1) / np.maximum(others + PRIOR_WEIGHT, 1e-9)
     lonely = others < 0.5  # nothing else is near
     meant[some[(alone < 0.25) & ~lonely]] = 0
-    listed = _contain(texts.take(pa.array(some[lonely])), terms)
+    listed = _contain(texts.take(pa.array(some[lonely])), [p for t in terms for p in t.passages])
     meant[some[lonely]] *= np.where(listed, *LONELY_WEIGHT)[:, None]
+    for i, c in term_ids:
+        meant[i, c] = max(meant[i, c], TERM_WEIGHT)
     kept = np.flatnonzero(meant.sum(1) > 0)
     used = np.flatnonzero((meant.sum(1) > 0) | (clean > 0))
     return Model(words, idf, BlockMaxIndex(vectors.pick(kept), len(words.known)), BlockMaxIndex(vectors.pick(used), len(words.known)), meant[used], clean[used])
 
 
-def _contain(texts: pa.Array, terms: Iterable[str]) -> np.ndarray:
+def _contain(texts: pa.Array, folded: list[str]) -> np.ndarray:
     """Whether a passage contains one of the terms as whole words."""
-    folded = sorted({" ".join(w) for t in terms if t for w in passages(t)})
     if not folded:
         return np.zeros(len(texts), bool)
-    pattern = r"\b(?:" + "|".join(map(re.escape, folded)) + r")\b"
+    pattern = r"\b(?:" + "|".join(map(re.escape, sorted(set(folded)))) + r")\b"
     return pc.match_substring_regex(texts, pattern).to_numpy(zero_copy_only=False).astype(bool)
 
 
@@ -297,6 +304,12 @@ def _shared(spark, value):
     return get
 
 
+def term_examples(terms: DataFrame) -> list[Labelled]:
+    """Listed terms of some severity as examples; rows with a null or an unknown category are left out."""
+    rows = terms.select("term", F.lower(F.trim("category")).alias("category")).where((F.col("severity") >= TERM_SEVERITY) & F.col("category").isin(*VERDICTS) & F.col("term").isNotNull())
+    return [Labelled(r["category"], [" ".join(p) for p in passages(r["term"])]) for r in rows.distinct().orderBy("category", "term").collect()]
+
+
 def word_documents(read: DataFrame, words: Words) -> np.ndarray:
     """Number of documents with each known word, over all documents."""
     shared = _shared(read.sparkSession, words)
@@ -334,16 +347,16 @@ def scores(docs: DataFrame, labels: DataFrame, terms: DataFrame | None = None) -
     """``doc_id, source, score, verdict, evidence`` for every document.
 
     ``docs``: ``doc_id, source, text``; ``labels``: ``doc_id, verdict``; ``terms``: a
-    short list of words in ``term``, which is collected. ``score``
+    short list, ``term, category, severity``, which is collected. ``score``
     lies between 0 and 1; ``verdict`` and ``evidence`` (the folded passage) are null
     where it is 0. Null and empty texts have score 0. Repeated rows are scored
     each. Of equal passages the first is the evidence. Other columns are not read.
-    Without a positive label all scores are 0. An empty table gives no rows.
+    Without a positive label or term all scores are 0. An empty table gives no rows.
     """
     read = read_passages(docs)
     sample = labelled_sample(read, labels)
-    words = learn_words(sample)
-    listed = [r["term"] for r in terms.select("term").where("severity > 1").collect()] if terms is not None else []
+    listed = term_examples(terms) if terms is not None else []
+    words = learn_words([*sample, *listed])
     model = fit(sample, words, word_documents(read, words), read.count(), listed)
     shared = _shared(read.sparkSession, model)
     del model, words, sample
