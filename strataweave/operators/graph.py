@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataweave.sources.storage import materialize
+from strataweave.sources.storage import discard, materialize
 
 
 def arcs(edges: DataFrame, weight: str | None = None) -> DataFrame:
@@ -63,13 +63,14 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000)
     fallen, and ends when none falls.
     """
     arc = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    best = materialize(starts.select("id").where("id is not null").distinct().withColumn("distance", F.lit(0.0)), "paths")
-    changed = best
+    both = materialize(starts.select("id").where("id is not null").distinct().withColumn("distance", F.lit(0.0)), "paths")
+    best = changed = both
     for _ in range(max_rounds):
         found = changed.join(arc, changed["id"] == arc["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("found"))
-        both = materialize(
+        last, both = both, materialize(
             best.join(found, "id", "full").select("id", F.least("distance", "found").alias("distance"), (F.col("found") < F.coalesce("distance", F.lit(float("inf")))).alias("fell")), "paths"
         )
+        discard(last)
         best, changed = both.select("id", "distance"), both.where("fell").select("id", "distance")
         if changed.isEmpty():
             break
@@ -158,7 +159,8 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> D
         loose = ranks.where("linked is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         given = ranks.join(links, ranks["id"] == links["src"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("part")).alias("got"))
         new = F.lit((1 - damping + damping * loose) / n) + damping * F.coalesce("got", F.lit(0.0))
-        ranks = materialize(ranks.join(given, ranks["id"] == given["dst"], "left").select("id", "linked", new.alias("rank")), "ranks")
+        last, ranks = ranks, materialize(ranks.join(given, ranks["id"] == given["dst"], "left").select("id", "linked", new.alias("rank")), "ranks")
+        discard(last)
     return ranks.select("id", "rank")
 
 
@@ -180,6 +182,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         new = small.select(F.col("x").alias("a"), "b").unionByName(small.where("a > x").select(F.col("x").alias("a"), F.col("a").alias("b"))).distinct()
         new = materialize(new, "stars")
         same = new.count() == links.count() and new.join(links, ["a", "b"], "left_anti").isEmpty()
+        discard(links)
         links = new
         if same:
             break
@@ -195,7 +198,8 @@ def label_propagation(edges: DataFrame, rounds: int = 5) -> DataFrame:
     best = Window.partitionBy("src").orderBy(F.col("n").desc(), F.col("community"))
     for _ in range(rounds):
         votes = both.join(labels, both["dst"] == labels["id"]).groupBy("src", "community").agg(F.sum("k").alias("n"))
-        labels = materialize(votes.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("src").alias("id"), "community"), "labels")
+        last, labels = labels, materialize(votes.withColumn("r", F.row_number().over(best)).where("r = 1").select(F.col("src").alias("id"), "community"), "labels")
+        discard(last)
     return labels
 
 
@@ -214,6 +218,37 @@ def closeness(edges: DataFrame, sources: DataFrame, max_depth: int) -> DataFrame
     return far.select(F.col("source").alias("id"), "reached", F.when(F.col("total") > 0, F.col("reached") / F.col("total")).otherwise(F.lit(0.0)).alias("closeness"))
 
 
+def betweenness(edges: DataFrame, sources: DataFrame, max_depth: int) -> DataFrame:
+    """``id, score``: shares of shortest paths (in steps) from the ``sources`` that pass through a vertex.
+
+    With every vertex as a source this is betweenness; with a sample, its estimate
+    times the sampled share. Paths are counted outwards by depth and their shares
+    added up on the way back. Repeated edges count once.
+    """
+    arc = edges.select("src", "dst").where("src <> dst").distinct()
+    levels = [materialize(sources.select(F.col("id").alias("source"), "id").distinct().withColumn("paths", F.lit(1.0)), "between")]
+    seen = levels[0].select("source", "id")
+    for _ in range(max_depth):
+        step = levels[-1].join(arc, levels[-1]["id"] == arc["src"]).groupBy("source", F.col("dst").alias("id")).agg(F.sum("paths").alias("paths"))
+        new = materialize(step.join(seen, ["source", "id"], "left_anti"), "between")
+        if new.isEmpty():
+            break
+        levels.append(new)
+        seen = seen.unionByName(new.select("source", "id"))
+    total, below = None, None
+    for level in reversed(levels[1:]):
+        here = level.withColumn("share", F.lit(0.0))
+        if below is not None:
+            on = below.join(arc, below["id"] == arc["dst"]).select("source", F.col("src").alias("id"), ((1 + F.col("share")) / F.col("paths")).alias("part"))
+            got = on.groupBy("source", "id").agg(F.sum("part").alias("got"))
+            here = level.join(got, ["source", "id"], "left").withColumn("share", F.col("paths") * F.coalesce("got", F.lit(0.0))).drop("got")
+        below = materialize(here, "between")
+        total = below if total is None else total.unionByName(below)
+    if total is None:
+        return sources.select("id", F.lit(0.0).alias("score")).limit(0)
+    return total.groupBy("id").agg(F.sum("share").alias("score"))
+
+
 def edge_filter(edges: DataFrame, label: str | None = None, props: dict[str, object] | None = None) -> DataFrame:
     """Edges of a label and with given columns; null arguments match everything."""
     cond: Column = F.lit(True)

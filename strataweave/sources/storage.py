@@ -40,4 +40,15 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strataweave_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table from :func:`materialize` that nothing reads any more."""
+    path = getattr(df, "_strataweave_path", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        at = context._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)

@@ -80,6 +80,13 @@ def test_pagerank_adds_up(spark):
     assert abs(r.agg(F.sum("rank")).first()[0] - 1) < 1e-9 and r.count() == 5
 
 
+def test_betweenness(spark):
+    # Two shortest ways from a to d, through b and c; from there on to e.
+    e = edges(spark, [("a", "b", 1.0), ("a", "c", 1.0), ("b", "d", 1.0), ("c", "d", 1.0), ("d", "e", 1.0)])
+    every = spark.createDataFrame([(v,) for v in "abcde"], "id string")
+    assert {k: v for k, v in rows(G.betweenness(e, every, 9)) if v} == {"b": 1.0, "c": 1.0, "d": 3.0}
+
+
 def test_types(spark):
     reg = TypeRegistry()
     reg.create("addr", {"street": "varchar(5)", "zip": "int"})
