@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,7 +75,10 @@ def _details(spark: SparkSession, sf_dir: str):
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_findings(*_products(spark, sf_dir)).unionByName(load_findings(*_details(spark, sf_dir)))
+    # The tables are independent, and most jobs of a table are too small to fill the executors.
+    with ThreadPoolExecutor(2) as pool:
+        parts = pool.map(inheritable_thread_target(lambda a: load_findings(*a)), (_products(spark, sf_dir), _details(spark, sf_dir)))
+        return reduce(DataFrame.unionByName, parts)
 
 
 def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
