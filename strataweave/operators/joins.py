@@ -12,18 +12,28 @@ from pyspark.sql import functions as F
 ALGORITHMS = {"HASH": "shuffle_hash", "MERGE": "merge", "NESTED_LOOP": "shuffle_replicate_nl", "INDEX": "broadcast", "BROADCAST": "broadcast", "AUTO": None}
 
 
+#: Largest side, by Spark's estimate, that a request for a broadcast join may broadcast.
+BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the size of a result; without statistics it is the size of the files read, or larger."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def equi_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]], how: str = "inner", algorithm: str = "AUTO") -> DataFrame:
     """Equi-join with an optional algorithm; null keys never match.
 
     Columns that both sides have get the prefix ``right_`` on the right, so no
     column is ambiguous. ``AUTO`` leaves the choice to Spark and its size checks.
-    ``BROADCAST`` and ``INDEX`` are requests of the caller for a side known to be
-    small. Semi and anti joins keep the left columns only.
+    ``BROADCAST`` and ``INDEX`` broadcast the right side if it is estimated at
+    ``BROADCAST_BYTES`` or less, else they leave the choice to Spark. Semi and anti
+    joins keep the left columns only.
     """
     names = {c: f"right_{c}" if c in left.columns else c for c in right.columns}
     renamed = right.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     hint = ALGORITHMS[algorithm.upper()]
-    if hint:
+    if hint and (hint != "broadcast" or estimated_bytes(renamed) <= BROADCAST_BYTES):
         renamed = renamed.hint(hint)
     cond = reduce(Column.__and__, [left[a] == renamed[names[b]] for a, b in on])
     return left.join(renamed, cond, how)

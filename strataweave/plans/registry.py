@@ -20,11 +20,9 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
-    def sql(self, text: str, *names: str, **args: object) -> DataFrame:
-        """A SELECT over tables that are given to it by name, without touching the session's views."""
-        return self.spark.sql(text, args=args or None, **{}) if not names else self.spark.sql(
-            text.format(**{n: "{" + n + "}" for n in names}), **{n: getattr(self, n) for n in names}
-        )
+    def sql(self, text: str, *names: str) -> DataFrame:
+        """A SELECT over the tables that it names in braces, without touching the session's views."""
+        return self.spark.sql(text, **{n: getattr(self, n) for n in names})
 
 
 class Plans:
