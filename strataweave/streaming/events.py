@@ -95,6 +95,27 @@ def keep_latest(stream: DataFrame, path: str, key: str, order: list[str], checkp
     return on_each_batch(stream, merge, checkpoint)
 
 
+def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there and return its result as a table in the shared folder.
+
+    ``complete`` keeps the last state of the aggregation, ``append`` all rows that were put out.
+    """
+    import uuid
+
+    from strataweave.sources.storage import shared_dir
+
+    path = f"{shared_dir(stream.sparkSession)}/strataweave-stream-{uuid.uuid4().hex}"
+    schema = stream.schema
+
+    def write(rows: DataFrame, number: int) -> None:
+        part = "all" if mode == "complete" else f"part={number}"
+        rows.write.mode("overwrite").parquet(f"{path}/data/{part}")
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(schema).parquet(f"{path}/data{'/all' if mode == 'complete' else ''}").select(*schema.fieldNames())
+
+
 def to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there into a table in memory, for tests and small results."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
