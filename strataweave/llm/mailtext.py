@@ -1,6 +1,7 @@
 """What a reader of a raw message sees, cut into passages and folded into plain words.
 
-Works on whole texts: headers, every text part in its transfer encoding, quoted
+All patterns take time in proportion to the text, also for very long words, lines
+and unclosed tags. Works on whole texts: headers, every text part in its transfer encoding, quoted
 and own text. A text without headers is taken as a body.
 """
 
@@ -17,13 +18,13 @@ _FIELD = re.compile(r"^([A-Za-z][A-Za-z0-9-]*):[ \t]*(.*(?:\n[ \t].*)*)", re.M)
 _BOUNDARY = re.compile(r'boundary="?([^";\n]+)', re.I)
 _CHARSET = re.compile(r'charset="?([^";\s]+)', re.I)
 _WORD = re.compile(r"=\?([^?\s]+)\?([bqBQ])\?([^?]*)\?=")
-_TAG = re.compile(r"(?is)<(script|style)\b.*?</\1>|<!--.*?-->|<[a-z/!][^<>]*>")
+_TAG = re.compile(r"(?is)<(script|style)\b(?:(?!</?\1\b).)*+</\1>|<!--(?:(?!-->|<!--).)*+-->|<[a-z/!][^<>]*+>")
 _BREAK_TAG = re.compile(r"(?i)<(?:br|/?p|/?div|/?tr|/?li|/?h\d|/?table|/?blockquote)\b[^<>]*>")
 _QUOTE = re.compile(r"(?m)^[ \t]*(?:>[ \t]?)+")
 _ENCODED_LINES = re.compile(r"(?m)(?:^[A-Za-z0-9+/=]{60,}\n)+[A-Za-z0-9+/=]*")
-_LAST_WORD = re.compile(r"\S+\Z")
+
 # The end of a sentence, an empty line, or a line that ends too early to have been wrapped.
-_SENTENCE = re.compile(r"(?<=[.!?:;])[\"')\]]*\s+|\s*\n\s*\n\s*|(?<=\n)(?<!.{50}\n)(?=[^a-z\s])")
+_SENTENCE = re.compile(r"(?<=[.!?:;])[\"')\]]*+\s++|\n[ \t]*+\n\s*+|(?<=\n)(?<!.{50}\n)(?=[^a-z\s])")
 _BROKEN_UTF8 = re.compile(r"[\u00c2\u00c3\u00e2][\u0080-\u00bf€‚ƒ„…†‡ˆ‰Š‹Œ‘’“”•–—˜™š›œŸ]")
 
 # Letters of other scripts that look like Latin ones.
@@ -34,8 +35,8 @@ _ALIKE = str.maketrans(
 # Digits and signs that stand for letters inside a word.
 _LEET = str.maketrans("013457@$|", "oieastasl")
 
-_ADDRESS = re.compile(r"\S+@\S+\.\S+|https?://\S+|www\.\S+")
-_MIXED = re.compile(r"[a-z0-9@$|]*(?:[a-z][0-9@$|]|[0-9@$|][a-z])[a-z0-9@$|]*")
+_ADDRESS = re.compile(r"(?<!\S)[^\s@]++@[^\s@.]++\.\S++|https?://\S++|www\.\S++")
+_MIXED = re.compile(r"(?<![a-z0-9@$|])(?:[a-z]++[0-9@$|]|[0-9@$|]++[a-z])[a-z0-9@$|]*+")
 _SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:[ \-._*~]{1,2}[^\W\d_]){2,}(?![^\W_])")
 _SEPARATED = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"(?<=[a-z])[!#%&*?+^]+(?=[a-z])")
@@ -168,7 +169,7 @@ def passages(text: str | None) -> dict[tuple[str, ...], str]:
     for i, part in enumerate(visible(text or "")):
         part = _ADDRESS.sub(" ", _QUOTE.sub("", part)).rstrip()
         if i and part and part[-1].isalpha():
-            part = _LAST_WORD.sub("", part)  # a cut part can end within a word
+            part = part[: max(part.rfind(" "), part.rfind("\n")) + 1]  # a cut part can end within a word
         for sentence in _SENTENCE.split(part):
             if not sentence or len(sentence) < 4:
                 continue

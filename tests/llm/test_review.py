@@ -84,6 +84,19 @@ def test_html_quotes_wraps_and_broken_input():
         assert isinstance(passages(odd), dict)
 
 
+@pytest.mark.parametrize("piece", ["a", "A1", " ", "\n", "a ", "@", "a@", "<", "<!--", "<script>", "> ", "=", "=\n", "Zg==", ".", "\u00e9", "--x\n", "! ", "?", "*a"])
+def test_time_in_proportion(piece):
+    import time
+
+    took = {}
+    for n in (50_000, 400_000):
+        text = "Subject: x\nContent-Type: text/html; boundary=x\n\n<html>" + piece * (n // len(piece)) + " end"
+        t = time.process_time()
+        passages(text)
+        took[n] = time.process_time() - t
+    assert took[400_000] < 24 * max(took[50_000], 0.02)
+
+
 BENIGN = ["The pallet is stuck in hall {n}.", "Please send the invoice before noon {n}.", "We moved the replica to shelf {n}.", "You are a great help with crate {n}.", "The goose farm ordered {n} crates.", "Lunch is served in room {n} at one."]
 BAD = {"abusive": ["You are a stupid goose and nobody likes you.", "Shut your mouth, you worthless dimwit."], "hateful": ["The Zorbians are vermin and must go.", "Never trust a Zorbian, they all steal."], "sexual": ["I want you naked in my bed tonight.", "Send me nude pictures of you, darling."]}
 
