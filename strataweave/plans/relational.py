@@ -382,9 +382,9 @@ def _(t):
     return A.aggregate(t.customer.where("c_acctbal > 9000"), [("ARRAY_AGG", "c_custkey", "keys")], ["c_nationkey"])
 
 
-@add("group_json", "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1")
+@add("group_json", "SELECT json_extract_string(props, '$.k') AS k, count(*) AS n, round(avg(value), 8) AS mean FROM events GROUP BY 1")
 def _(t):
-    return t.events.groupBy(F.get_json_object("props", "$.k").alias("k")).agg(n_rows().alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return t.events.groupBy(F.get_json_object("props", "$.k").alias("k")).agg(n_rows().alias("n"), F.round(F.avg("value"), 8).alias("mean"))
 
 
 for _name, _sql, _f in (
