@@ -145,10 +145,11 @@ def _letters(w: str) -> str:
 
 @dataclass
 class Labelled:
-    """Passages of one labelled document, and its positive verdict or an empty string."""
+    """Passages of one labelled document, its positive verdict or an empty string, and how many documents it stands for."""
 
     verdict: str
     passages: list[str]
+    weight: float = 1.0
 
 
 def learn_words(sample: Iterable[Labelled]) -> Words:
@@ -201,7 +202,7 @@ def fit(sample: list[Labelled], words: Words, document_frequency: np.ndarray, n_
     passages that contain them and stand alone.
     """
     terms = list(terms)
-    n_bad = sum(bool(d.verdict) for d in sample)
+    n_bad = sum(d.weight for d in sample if d.verdict)
     if not n_bad and not terms:
         return None
     usual = np.median(document_frequency[document_frequency > 0]) if (document_frequency > 0).any() else 1
@@ -217,16 +218,16 @@ def fit(sample: list[Labelled], words: Words, document_frequency: np.ndarray, n_
     for d in sample:
         ids = np.array([number[p] for p in dict.fromkeys(d.passages)], np.int64)
         if d.verdict:
-            bad[ids, VERDICTS.index(d.verdict)] += 1
+            bad[ids, VERDICTS.index(d.verdict)] += d.weight
         else:
-            clean[ids] += 1
+            clean[ids] += d.weight
     index = BlockMaxIndex(vectors, len(words.known))
 
     # Which passages of the positive documents are meant: in each, those with the highest share of positive documents around.
     # A passage known from clean documents as often as from others is not one of them.
     some = np.flatnonzero((bad.sum(1) > 0) & (clean <= bad.sum(1)))
     share, weight = np.zeros(len(number)), np.zeros(len(number))
-    base = n_bad / max(1, len(sample))
+    base = n_bad / max(1, sum(d.weight for d in sample))
     votes, mass = vote(index, vectors.pick(some), bad, clean, base, 0.5)
     share[some], weight[some] = votes.sum(1), mass
     meant = np.zeros_like(bad)
@@ -235,13 +236,14 @@ def fit(sample: list[Labelled], words: Words, document_frequency: np.ndarray, n_
             ids = np.array([number[p] for p in dict.fromkeys(d.passages)], np.int64)
             top = share[ids].max()
             if top >= max(0.5, base):
-                meant[ids[share[ids] >= top - 0.1], VERDICTS.index(d.verdict)] += 1
+                meant[ids[share[ids] >= top - 0.1], VERDICTS.index(d.verdict)] += d.weight
     # Once more with what was found: of the other passages of positive documents nothing is known.
     some = np.flatnonzero(meant.sum(1) > 0)
     again, mass = vote(index, vectors.pick(some), meant, clean)
     # What the others say: without one document's own word.
-    others = mass - 1
-    alone = (again.sum(1) * (mass + PRIOR_WEIGHT) - 1) / np.maximum(others + PRIOR_WEIGHT, 1e-9)
+    own = max((d.weight for d in sample if d.verdict), default=1.0)  # the same for all positive documents
+    others = mass - own
+    alone = (again.sum(1) * (mass + PRIOR_WEIGHT) - own) / np.maximum(others + PRIOR_WEIGHT, 1e-9)
     lonely = others < 0.5  # nothing else is near
     meant[some[(alone < 0.25) & ~lonely]] = 0
     listed = _contain(texts.take(pa.array(some[lonely])), [p for t in terms for p in t.passages])
@@ -274,7 +276,10 @@ def read_passages(docs: DataFrame) -> DataFrame:
 
 
 def labelled_sample(read: DataFrame, labels: DataFrame) -> list[Labelled]:
-    """Labelled documents, chosen by a hash up to the bounds. Other verdicts, and a tie of verdicts, are no label."""
+    """Labelled documents, chosen by a hash up to the bounds. Other verdicts, and a tie of verdicts, are no label.
+
+    Each stands for as many documents of its class as were labelled for one chosen, so the balance of the classes is that of all labels.
+    """
     verdict = F.lower(F.trim("verdict"))
     per_doc = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), verdict.alias("v"))
@@ -287,8 +292,10 @@ def labelled_sample(read: DataFrame, labels: DataFrame) -> list[Labelled]:
     some = lambda df, n: df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = some(per_doc.where("verdict <> ''"), MAX_POSITIVE).unionByName(some(per_doc.where("verdict = ''"), MAX_CLEAN))
     rows = read.select("doc_id", "passages").join(F.broadcast(chosen.select("doc_id", "verdict")), "doc_id").orderBy("doc_id", F.to_json("passages"))
+    n = per_doc.agg(F.count_if(F.col("verdict") != "").alias("bad"), F.count_if(F.col("verdict") == "").alias("clean")).first()
+    bad, clean = max(1.0, n["bad"] / MAX_POSITIVE), max(1.0, n["clean"] / MAX_CLEAN)
     # A repeated document counts once; the sample is bounded, so is what the driver gets.
-    return list({r["doc_id"]: Labelled(r["verdict"], r["passages"]) for r in rows.collect()}.values())
+    return list({r["doc_id"]: Labelled(r["verdict"], r["passages"], bad if r["verdict"] else clean) for r in rows.collect()}.values())
 
 
 def _shared(spark, value):

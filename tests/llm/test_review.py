@@ -7,9 +7,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from strataweave.llm import review
 from strataweave.llm.mailtext import fold, passages
 from strataweave.llm.neighbours import BlockMaxIndex, tf_idf
-from strataweave.llm.review import THRESHOLD, Words, rates, scores
+from strataweave.llm.review import THRESHOLD, Labelled, Words, fit, labelled_sample, learn_words, rates, scores
 
 
 def vectors(rng, n, terms):
@@ -138,3 +139,22 @@ def test_no_labels_and_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, verdict string")
     assert [r["score"] for r in scores(docs, none).collect()] == [0.0]
     assert scores(docs.limit(0), none).count() == 0
+
+
+def test_bounds_of_the_sample_keep_the_balance_of_the_labels(spark, monkeypatch):
+    """One positive document for two clean ones with the same phrase: no case, with and without bounds that act."""
+    phrase = "the zorbian gadget rattles loudly"
+    own = lambda i: "".join(chr(97 + int(c)) for c in f"{i:04d}") + "quux"
+    read = spark.createDataFrame([(i, [phrase, f"{own(i)} {own(i + 5000)}"]) for i in range(300)], "doc_id long, passages array<string>")
+    labels = spark.createDataFrame([(i, "abusive" if i % 3 == 0 else "ok") for i in range(300)], "doc_id long, verdict string")
+    got = []
+    for bounds in ((5_000, 8_000), (80, 40)):
+        monkeypatch.setattr(review, "MAX_POSITIVE", bounds[0])
+        monkeypatch.setattr(review, "MAX_CLEAN", bounds[1])
+        sample = labelled_sample(read, labels)
+        assert sum(d.weight for d in sample if d.verdict) == pytest.approx(100) and sum(d.weight for d in sample if not d.verdict) == pytest.approx(200)
+        # The phrase as another example of its own, so that the vote on it is seen.
+        words = learn_words(sample)
+        model = fit(sample, words, np.full(len(words.known), 3), 300, [Labelled("abusive", [phrase])])
+        got.append(model.score(pa.array([phrase]))[0][0])
+    assert got[0] == pytest.approx(got[1], abs=0.02) and max(got) < THRESHOLD
