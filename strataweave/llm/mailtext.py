@@ -166,10 +166,8 @@ def fold(text: str) -> str:
 def passages(text: str | None) -> dict[tuple[str, ...], str]:
     """Distinct passages of a message as folded words, each with the text it came from."""
     out: dict[tuple[str, ...], str] = {}
-    for i, part in enumerate(visible(text or "")):
+    for part in visible(text or ""):
         part = _ADDRESS.sub(" ", _QUOTE.sub("", part)).rstrip()
-        if i and part and part[-1].isalpha():
-            part = part[: max(part.rfind(" "), part.rfind("\n")) + 1]  # a cut part can end within a word
         for sentence in _SENTENCE.split(part):
             if not sentence or len(sentence) < 4:
                 continue

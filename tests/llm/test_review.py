@@ -158,3 +158,8 @@ def test_bounds_of_the_sample_keep_the_balance_of_the_labels(spark, monkeypatch)
         model = fit(sample, words, np.full(len(words.known), 3), 300, [Labelled("abusive", [phrase])])
         got.append(model.score(pa.array([phrase]))[0][0])
     assert got[0] == pytest.approx(got[1], abs=0.02) and max(got) < THRESHOLD
+
+
+def test_last_word_is_kept():
+    assert ("you", "are", "an", "idiot") in passages("From: a\n\nYou are an idiot")
+    assert ("idiot",) in passages("From: a\nSubject: hello\n\nIdiot")
