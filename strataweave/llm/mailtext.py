@@ -14,6 +14,9 @@ import quopri
 import re
 import unicodedata
 
+#: Words of a passage above which its windows are passages too, words of a window, and words from one to the next.
+LONG, WINDOW, STEP = 22, 15, 7
+
 _FIELD = re.compile(r"^([A-Za-z][A-Za-z0-9-]*):[ \t]*(.*(?:\n[ \t].*)*)", re.M)
 _BOUNDARY = re.compile(r'boundary="?([^";\n]+)', re.I)
 _CHARSET = re.compile(r'charset="?([^";\s]+)', re.I)
@@ -164,7 +167,11 @@ def fold(text: str) -> str:
 
 
 def passages(text: str | None) -> dict[tuple[str, ...], str]:
-    """Distinct passages of a message as folded words, each with the text it came from."""
+    """Distinct passages of a message as folded words, each with the text it came from.
+
+    A passage of more than ``LONG`` words gives its windows besides, so that what
+    stands around some words does not hide them.
+    """
     out: dict[tuple[str, ...], str] = {}
     for part in visible(text or ""):
         part = _ADDRESS.sub(" ", _QUOTE.sub("", part)).rstrip()
@@ -174,4 +181,13 @@ def passages(text: str | None) -> dict[tuple[str, ...], str]:
             words = tuple(_TOKEN.findall(fold(sentence)))
             if words and words not in out:
                 out[words] = sentence
+            for window in _windows(words):
+                out.setdefault(window, sentence)
     return out
+
+
+def _windows(words: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """Overlapping windows over the whole of a long passage; a run of WINDOW - STEP + 1 words is whole in one of them."""
+    if len(words) <= LONG:
+        return []
+    return [words[i : i + WINDOW] for i in (*range(0, len(words) - WINDOW, STEP), len(words) - WINDOW)]

@@ -163,3 +163,17 @@ def test_bounds_of_the_sample_keep_the_balance_of_the_labels(spark, monkeypatch)
 def test_last_word_is_kept():
     assert ("you", "are", "an", "idiot") in passages("From: a\n\nYou are an idiot")
     assert ("idiot",) in passages("From: a\nSubject: hello\n\nIdiot")
+
+
+def test_words_in_a_long_passage_are_found():
+    """A word of idf 8 among 60 others of idf 3: cosine 0.33 in the whole passage, below the floor."""
+    others = [f"{c}{v}t{w}" for c in "bdfgklmn" for v in "aeiou" for w in "ai"][:60]
+    sample = [Labelled("abusive", ["dimwit"])] * 3 + [Labelled("", others)] * 2
+    words = learn_words(sample)
+    model = fit(sample, words, np.array([30 if w == "dimwit" else 5_000 for w in words.known]), 100_000)
+    for at in (0, 17, 30, 59, 60):
+        text = "From: a\n\n" + " ".join([*others[:at], "dimwit", *others[at:]])
+        texts = [" ".join(p) for p in passages(text)]
+        score = model.score(pa.array(texts))[0]
+        assert len(texts[0].split()) == 61 and score[0] == 0 and score.max() >= THRESHOLD
+        assert set(" ".join(texts[1:]).split()) == {"dimwit", *others}
