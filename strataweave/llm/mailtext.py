@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import html
 import quopri
 import re
@@ -45,10 +46,31 @@ _SEPARATED = re.compile(r"[^a-z]+")
 _HIDDEN = re.compile(r"(?<=[a-z])[!#%&*?+^]+(?=[a-z])")
 _RUN = re.compile(r"([a-z])\1+")
 _TOKEN = re.compile(r"[a-z]+(?:\*[a-z]+)*")
+_CONTROL = [chr(c) for c in range(32) if c not in (9, 10, 13)]
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufe00-\ufe0f]")
 
 
+def _wide(data: bytes, charset: str) -> str | None:
+    """The UTF-16 or UTF-32 charset of data that have its mark, or are declared so and contain zero bytes."""
+    if data.startswith((codecs.BOM_UTF32_LE, codecs.BOM_UTF32_BE)):
+        return "utf-32"
+    if data.startswith((codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE)):
+        return "utf-16"
+    name = charset.lower().replace("_", "-")
+    if not name.startswith(("utf-16", "utf-32")) or 0 not in data:
+        return None
+    if name in ("utf-16", "utf-32"):  # without a mark: the zero bytes of plain letters come first or last
+        step = 2 if name == "utf-16" else 4
+        name += "-be" if data[::step].count(0) > data[step - 1 :: step].count(0) else "-le"
+    return name
+
+
 def _decode(data: bytes, charset: str) -> str:
+    if wide := _wide(data, charset):
+        try:
+            return data.decode(wide, "replace")
+        except LookupError:
+            pass
     for name in ("utf-8", charset, "cp1252"):
         try:
             return data.decode(name)
@@ -114,7 +136,7 @@ def _body(fields: dict[str, str], body: str, out: list[str], depth: int = 0) ->
         text = body
         if encoding != "7bit" or "\n" in body:
             text = _ENCODED_LINES.sub(lambda m: _from_base64(m.group(), charset), body)
-    if "html" in low or "<html" in text[:2000].lower():
+    if "html" in low or "<html" in text.lower():
         text = html.unescape(_TAG.sub(" ", _BREAK_TAG.sub("\n\n", text)))
     if low.startswith("message/") and depth < 8:
         head, gap, rest = text.lstrip("\n").partition("\n\n")
@@ -134,8 +156,7 @@ def _from_base64(body: str, charset: str) -> str:
     except (binascii.Error, ValueError):
         return body
     text = _decode(raw, charset)
-    control = sum(c < 32 and c not in (9, 10, 13) for c in raw[:4096])
-    return "" if control * 20 > min(len(raw), 4096) else text
+    return "" if sum(map(text.count, _CONTROL)) * 20 > len(text) else text
 
 
 def visible(text: str) -> list[str]:

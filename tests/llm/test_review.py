@@ -177,3 +177,20 @@ def test_words_in_a_long_passage_are_found():
         score = model.score(pa.array(texts))[0]
         assert len(texts[0].split()) == 61 and score[0] == 0 and score.max() >= THRESHOLD
         assert set(" ".join(texts[1:]).split()) == {"dimwit", *others}
+
+
+def _encoded(raw, charset="utf-8", kind="text/plain"):
+    return f"From: a\nContent-Type: {kind}; charset={charset}\nContent-Transfer-Encoding: base64\n\n{base64.encodebytes(raw).decode()}"
+
+
+@pytest.mark.parametrize(("charset", "codec"), [("utf-16", "utf-16"), ("utf-16", "utf-16-be"), ("UTF-16", "utf-16-le"), ("utf-16le", "utf-16-le"), ("utf-8", "utf-16"), ("utf-32", "utf-32-le"), ("utf-16", "utf-8")])
+def test_wide_charsets(charset, codec):
+    assert tuple("you are a stupid gose cafe".split()) in passages(_encoded(LINE.encode(codec), charset))
+
+
+def test_whole_part_decides():
+    start = b"\x01" * 300 + b"\n\n"
+    assert ("you", "are", "a", "stupid", "gose", "cafe") in passages(_encoded(start + b"A plain line.\n" * 2_000 + LINE.encode()))
+    assert not passages(_encoded(bytes(range(256)) * 40))
+    preamble = "A line before the page.\n" * 200
+    assert ("stu", "pid", "gose", "inded") in passages(f"From: a\n\n{preamble}\n\n<html><p>Stu<b></b>pid goose indeed.</p></html>")
