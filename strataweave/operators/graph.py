@@ -7,6 +7,7 @@ folder, so plans do not grow and a lost executor costs one round.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,16 +57,16 @@ def bfs(edges: DataFrame, starts: DataFrame, max_depth: int, vertex_ok: DataFram
     return seen
 
 
-def shortest_paths(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def shortest_paths(edges: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """``id, distance``: least sum of weights from the nearest start; weights must not be negative.
 
     Each round relaxes only arcs that leave a vertex whose distance has just
-    fallen, and ends when none falls.
+    fallen, and ends when none falls. A bound on the rounds that is reached before is an error.
     """
     arc = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
     both = materialize(starts.select("id").where("id is not null").distinct().withColumn("distance", F.lit(0.0)), "paths")
     best = changed = both
-    for _ in range(max_rounds):
+    for _ in count() if max_rounds is None else range(max_rounds):
         found = changed.join(arc, changed["id"] == arc["src"]).groupBy(F.col("dst").alias("id")).agg(F.min(F.col("distance") + F.col("weight")).alias("found"))
         last, both = both, materialize(
             best.join(found, "id", "full").select("id", F.least("distance", "found").alias("distance"), (F.col("found") < F.coalesce("distance", F.lit(float("inf")))).alias("fell")), "paths"
@@ -74,11 +75,13 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, max_rounds: int = 1000)
         best, changed = both.select("id", "distance"), both.where("fell").select("id", "distance")
         if changed.isEmpty():
             break
+    else:
+        raise RuntimeError(f"distances still fall after {max_rounds} rounds")
     return best
 
 
 def path_to(edges: DataFrame, distances: DataFrame, target: object, max_steps: int = 1000) -> list:
-    """Vertices of one shortest path to ``target``, from its start; empty if it is not reached. One small query a step."""
+    """Vertices of one shortest path to ``target``, from its start; empty if it is not reached. One small query a step; more than ``max_steps`` are an error."""
     known = {r["id"]: r["distance"] for r in distances.where(F.col("id") == F.lit(target)).collect()}
     if target not in known:
         return []
@@ -92,6 +95,9 @@ def path_to(edges: DataFrame, distances: DataFrame, target: object, max_steps: i
             break
         at, left = step["id"], step["distance"]
         path.append(at)
+    else:
+        if left > 0:
+            raise RuntimeError(f"the path to {target} has more than {max_steps} steps")
     return path[::-1]
 
 

@@ -159,3 +159,15 @@ def test_streams_equal_batch(spark, tmp_path):
     q.awaitTermination()
     assert rows(spark.read.parquet(f"{tmp_path}/latest/0")) == rows(K.latest_per_key(df, "user_id", ["ts", "event_id"]))
     assert S.to_memory(S.expiring_keys(stream, "user_id", "ts", 3600, "0 seconds"), "e1").count() > 0
+
+
+def test_bounds_on_rounds_are_errors(spark):
+    chain = spark.createDataFrame([(i, i + 1, 1.0) for i in range(5)], "src long, dst long, weight double")
+    start = spark.createDataFrame([(0,)], "id long")
+    with pytest.raises(RuntimeError):
+        G.shortest_paths(chain, start, max_rounds=3)
+    far = G.shortest_paths(chain, start)
+    assert rows(far) == [(i, float(i)) for i in range(6)]
+    with pytest.raises(RuntimeError):
+        G.path_to(chain, far, 5, max_steps=4)
+    assert G.path_to(chain, far, 5, max_steps=5) == [0, 1, 2, 3, 4, 5]
