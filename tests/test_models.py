@@ -171,3 +171,12 @@ def test_bounds_on_rounds_are_errors(spark):
     with pytest.raises(RuntimeError):
         G.path_to(chain, far, 5, max_steps=4)
     assert G.path_to(chain, far, 5, max_steps=5) == [0, 1, 2, 3, 4, 5]
+
+
+def test_graph_queries_see_all_customers(spark, tmp_path):
+    from strataweave.plans.models import QUERIES
+
+    ids = range(1490, 1521)
+    spark.createDataFrame([(i, i % 25) for i in ids], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    want = {v for i in ids for v in (i, 2 * i + 1, i + 7)}
+    assert {r[0] for r in QUERIES["graph_communities"](spark, str(tmp_path)).select("id").collect()} == want
