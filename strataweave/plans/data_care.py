@@ -83,7 +83,7 @@ def p6_load_discrimination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-fitted AUCs of each load against the one before, per column."""
     out = None
     for df, name, load, rules, unit in (_products(spark, sf_dir), _details(spark, sf_dir)):
-        part = load_discrimination(df, load, rules, unit).drop("ci").withColumn("table_name", F.lit(name))
+        part = load_discrimination(df, load, rules, unit).withColumn("table_name", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
