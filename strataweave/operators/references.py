@@ -1,20 +1,23 @@
 """Orphan references: keys that were missing, deleted or not yet loaded when referred to.
 
 The parent side becomes disjoint intervals in which a key is alive. Distinct
-foreign keys are anti-joined against them first, so that rows whose key is alive
-over its whole span of use are never shuffled a second time for the check; the
-keys that remain are joined back to their rows and tested one by one.
+foreign keys are anti-joined against them first: a key that is alive over its
+whole span of use has no orphans. The keys that remain are joined back to their
+rows, which are tested one by one. Intervals and keys are written once.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataweave.sources.storage import materialize
+
 HOT_SHARE = 0.001
-SALTS = 64
+#: Rows of a hot key that are joined in one piece.
+ROWS_PER_SALT = 100_000
+#: Keys to be joined back, or intervals of hot keys, that may be broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def alive_intervals(loads: DataFrame, deletions: DataFrame | None = None) -> DataFrame:
@@ -32,17 +35,24 @@ def alive_intervals(loads: DataFrame, deletions: DataFrame | None = None) -> Dat
             deletions[deleted[0]].alias("parent_key"), deletions[deleted[1]].alias("at"), F.lit(0).alias("alive")
         )
         events = events.unionByName(gone)
-    # One row per key and time: several loads of a key at one time are one event.
-    events = events.where("parent_key is not null and at is not null").groupBy("parent_key", "at").agg(F.min("alive").alias("alive"))
-    w = Window.partitionBy("parent_key").orderBy("at")
-    turns = events.withColumn("before", F.coalesce(F.lag("alive").over(w), F.lit(0))).where("alive <> before")
+    # One row per key and time, and of neighbouring events of a day that say the same only the first, so that
+    # a key that is loaded over and over leaves few rows for the order over its whole history.
+    events = events.where("parent_key is not null and at is not null").withColumn("day", F.date_trunc("day", "at"))
+    events = events.repartition("parent_key", "day").groupBy("parent_key", "day", "at").agg(F.min("alive").alias("alive"))
+    turns = _turns(_turns(events, "parent_key", "day"), "parent_key").where("alive = 1 or before is not null")
     return (
-        turns.withColumn("alive_to", F.lead("at").over(w))
+        turns.withColumn("alive_to", F.lead("at").over(Window.partitionBy("parent_key").orderBy("at")))
         .where("alive = 1")
         .select("parent_key", F.col("at").alias("alive_from"), "alive_to")
     )
 
 
+def _turns(events: DataFrame, *by: str) -> DataFrame:
+    """Events that say something else than the one before them in their group; ``before`` is null for a group's first."""
+    w = Window.partitionBy(*by).orderBy("at")
+    return events.withColumn("before", F.lag("alive").over(w)).where("before is null or alive <> before")
+
+
 def _alive(ref_ts: str) -> Column:
     return (F.col("alive_from") <= F.col(ref_ts)) & (F.col("alive_to").isNull() | (F.col(ref_ts) < F.col("alive_to")))
 
@@ -57,13 +67,45 @@ def orphan_references(
     interval, so such a row is an orphan. Other columns of ``child`` are not read.
     An empty child gives no rows; with no intervals every reference is an orphan.
 
-    Keys with at least ``hot_share`` of the rows (at most ``1 / hot_share`` of
-    them) are joined in ``SALTS`` pieces each, so no task gets more than its share.
+    Keys with at least ``hot_share`` of the rows are at most ``1 / hot_share``.
+    Rows of those that are always alive are dropped where they are read; rows of
+    the others meet a broadcast of the intervals of these keys, or are joined in
+    pieces of ``ROWS_PER_SALT`` rows where the intervals are many. Runs jobs when called.
     """
     at = F.col(ref_ts) if isinstance(ref_ts, str) else ref_ts
     refs = child.select(F.col(child_id).alias("child_id"), F.col(key).alias("ref_key"), at.alias("ref_ts")).where(
         F.col("ref_key").isNotNull()
     )
+    intervals = materialize(intervals, "intervals")
+    least = max(1.0, hot_share * child.count())
+    checked = materialize(_checked_keys(refs, intervals, least), "keys")
+    is_frequent = F.when((F.col("n_refs") >= least) & F.lit(least > 1), F.struct("ref_key", "suspect", "n_refs"))
+    n_suspects, frequent = checked.agg(F.count_if("suspect"), F.collect_list(is_frequent)).first()
+    hot = {r["ref_key"]: r["suspect"] for r in frequent}
+    split = {r["ref_key"]: r["n_refs"] for r in frequent if r["suspect"]}
+    is_hot = lambda c: F.col(c).isin(list(hot)) if hot else F.lit(False)
+
+    suspects = checked.where(F.col("suspect") & ~is_hot("ref_key")).select(F.col("ref_key").alias("suspect_key"))
+    spans = intervals.where(~is_hot("parent_key"))
+    if n_suspects <= BROADCAST_KEYS:
+        suspects = F.broadcast(suspects)
+        spans = spans.join(suspects, F.col("parent_key") == F.col("suspect_key"), "left_semi")
+    rows = refs.where(~is_hot("ref_key")).join(suspects, F.col("ref_key") == F.col("suspect_key"), "left_semi")
+    cold = rows.join(spans, (F.col("ref_key") == F.col("parent_key")) & _alive("ref_ts"), "left_anti")
+    if not split:
+        return cold
+    heavy, spans = refs.where(F.col("ref_key").isin(list(split))), intervals.where(F.col("parent_key").isin(list(split)))
+    inside = (F.col("ref_key") == F.col("parent_key")) & _alive("ref_ts")
+    if spans.count() <= BROADCAST_KEYS:
+        return cold.unionByName(heavy.join(F.broadcast(spans), inside, "left_anti"))
+    salts = -(-max(split.values()) // ROWS_PER_SALT)
+    heavy = heavy.withColumn("salt", F.pmod(F.xxhash64("child_id", "ref_ts"), F.lit(salts)))
+    spans = spans.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return cold.unionByName(heavy.join(spans, inside & (F.col("salt") == F.col("piece")), "left_anti").drop("salt"))
+
+
+def _checked_keys(refs: DataFrame, intervals: DataFrame, least: float) -> DataFrame:
+    """``ref_key, n_refs, suspect`` of the keys that are not alive over their whole span of use, and of those with ``least`` rows."""
     keys = refs.groupBy("ref_key").agg(
         F.min("ref_ts").alias("first_ts"),
         F.max("ref_ts").alias("last_ts"),
@@ -76,32 +118,9 @@ def orphan_references(
         & (F.col("alive_from") <= F.col("first_ts"))
         & (F.col("alive_to").isNull() | (F.col("last_ts") < F.col("alive_to")))
     )
-    suspects = keys.join(intervals, covered, "left_anti")
-
-    least = max(1.0, hot_share * child.count())
-    hot = [r[0] for r in suspects.where(F.col("n_refs") >= least).select("ref_key").collect()] if least > 1 else []
-    suspects = suspects.select(F.col("ref_key").alias("suspect_key"))
-
-    def check(rows: DataFrame, keys: DataFrame, spans: DataFrame, *also: str) -> DataFrame:
-        same = [F.col(f"s_{c}") == F.col(c) for c in also]
-        back = reduce(Column.__and__, [F.col("ref_key") == F.col("suspect_key"), *same])
-        inside = reduce(Column.__and__, [F.col("ref_key") == F.col("parent_key"), *same, _alive("ref_ts")])
-        return (
-            rows.join(keys, back, "left_semi").join(spans, inside, "left_anti").select("child_id", "ref_key", "ref_ts")
-        )
-
-    if not hot:
-        return check(refs, suspects, intervals)
-    is_hot = lambda c: F.col(c).isin(hot)
-    salted = lambda df: df.withColumn("s_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    cold = check(refs.where(~is_hot("ref_key")), suspects.where(~is_hot("suspect_key")), intervals.where(~is_hot("parent_key")))
-    heavy = check(
-        refs.where(is_hot("ref_key")).withColumn("salt", F.pmod(F.xxhash64("child_id", "ref_ts"), F.lit(SALTS)).cast("int")),
-        salted(suspects.where(is_hot("suspect_key"))),
-        salted(intervals.where(is_hot("parent_key"))),
-        "salt",
-    )
-    return cold.unionByName(heavy)
+    # An anti-join that keeps the hot keys besides; intervals of a key are disjoint, so at most one covers its span.
+    joined = keys.join(intervals, covered, "left").select("ref_key", "n_refs", F.col("parent_key").isNull().alias("suspect"))
+    return joined.where(F.col("suspect") | (F.col("n_refs") >= least)) if least > 1 else joined.where("suspect")
 
 
 def orphan_counts(child: DataFrame, key: str, ref_ts: str | Column, orphans: DataFrame, period: str = "month") -> DataFrame:

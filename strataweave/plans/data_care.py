@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,9 +26,11 @@ def _alive(spark: SparkSession, sf_dir: str, parent: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders = orphan_references(table(spark, sf_dir, "order_details"), "order_id", "product_id", _order_time(), _alive(spark, sf_dir, "products"))
-    staff = orphan_references(table(spark, sf_dir, "employees"), "id", "dept_id", "loaded_at", _alive(spark, sf_dir, "departments"))
-    return orders, staff
+    order_refs = table(spark, sf_dir, "order_details"), "order_id", "product_id", _order_time(), _alive(spark, sf_dir, "products")
+    staff_refs = table(spark, sf_dir, "employees"), "id", "dept_id", "loaded_at", _alive(spark, sf_dir, "departments")
+    with ThreadPoolExecutor(2) as pool:  # the jobs of the two tables at the same time
+        orders, staff = (pool.submit(orphan_references, *refs) for refs in (order_refs, staff_refs))
+        return orders.result(), staff.result()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
