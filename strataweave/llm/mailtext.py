@@ -15,6 +15,8 @@ import quopri
 import re
 import unicodedata
 
+#: Levels of messages and parts within each other that are taken apart; what lies deeper is read as it stands.
+DEPTH = 50
 #: Words of a passage above which its windows are passages too, words of a window, and words from one to the next.
 LONG, WINDOW, STEP = 22, 15, 7
 
@@ -111,7 +113,7 @@ def _fields(head: str) -> dict[str, str]:
 def _body(fields: dict[str, str], body: str, out: list[str], depth: int = 0) -> None:
     kind = fields.get("content-type", "text/plain")
     low = kind.lower()
-    if (found := _BOUNDARY.search(kind)) and depth < 8 and f"--{found[1]}" in body:
+    if (found := _BOUNDARY.search(kind)) and depth < DEPTH and f"--{found[1]}" in body:
         for i, part in enumerate(body.split(f"--{found[1]}")):
             if i == 0:  # before the first part
                 continue
@@ -138,7 +140,7 @@ def _body(fields: dict[str, str], body: str, out: list[str], depth: int = 0) ->
             text = _ENCODED_LINES.sub(lambda m: _from_base64(m.group(), charset), body)
     if "html" in low or "<html" in text.lower():
         text = html.unescape(_TAG.sub(" ", _BREAK_TAG.sub("\n\n", text)))
-    if low.startswith("message/") and depth < 8:
+    if low.startswith("message/") and depth < DEPTH:
         head, gap, rest = text.lstrip("\n").partition("\n\n")
         if gap and (inner := _fields(head)):
             out.append(inner.get("subject", ""))
@@ -197,7 +199,7 @@ def passages(text: str | None) -> dict[tuple[str, ...], str]:
     for part in visible(text or ""):
         part = _ADDRESS.sub(" ", _QUOTE.sub("", part)).rstrip()
         for sentence in _SENTENCE.split(part):
-            if not sentence or len(sentence) < 4:
+            if not sentence:
                 continue
             words = tuple(_TOKEN.findall(fold(sentence)))
             if words and words not in out:

@@ -9,7 +9,7 @@ from strataweave.llm.heavy_hitters import top_k
 from strataweave.llm.mixing import mix
 from strataweave.llm.packing import CAPACITY, pack
 from strataweave.llm.percentiles import merge_states, percentiles, value_state
-from strataweave.llm.review import THRESHOLD, rates, scores
+from strataweave.llm.review import THRESHOLD, calibration_table, rates, scores
 from strataweave.llm.topn import top_n
 from strataweave.sources import table
 
@@ -92,6 +92,15 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens and pieces of every document in containers, and how many of these are too full: none may be."""
+    packed = p7_pack(spark, sf_dir)
+    full = packed.where("container is not null").groupBy("container").agg(F.sum("length").alias("in_it"))
+    docs = packed.groupBy("doc_id").agg(F.sum("length").alias("tokens"), F.count("container").alias("n_pieces"), F.max(F.col("start") + F.col("length")).alias("end_at"))
+    over = full.agg(F.count_if(F.col("in_it") > CAPACITY).alias("n_overfull"))
+    return docs.join(F.broadcast(over))  # one row
+
+
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chosen documents with their repeats, in slots of the mix."""
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).chosen
@@ -102,6 +111,25 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).shares
 
 
+def p8_reached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every source has its share to one document, and uses none more often than allowed."""
+    docs, targets = table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")
+    mixed = mix(docs, targets)
+    uses = mixed.chosen.groupBy("source").agg((F.max("repeat_no") + 1).alias("uses"), F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id", "repeat_no").alias("n_different"))
+    largest = docs.agg(F.max(F.octet_length("text")).alias("largest"))
+    goal = F.least(F.col("wanted_tokens"), F.col("available_tokens").cast("double") * F.col("max_repeats"))
+    return (
+        mixed.shares.join(targets.select("source", "max_repeats"), "source")
+        .join(uses, "source", "left")
+        .join(F.broadcast(largest))  # one row
+        .select(
+            "source", "available_tokens", F.round("wanted_tokens", 3).alias("wanted_tokens"), "is_short",
+            ((F.col("used_tokens") >= goal - 1e-3) & (F.col("used_tokens") - goal <= F.col("largest"))).alias("share_kept"),
+            (F.coalesce("uses", F.lit(0)) <= F.col("max_repeats")).alias("repeats_kept"), (F.coalesce("n", F.lit(0)) == F.coalesce("n_different", F.lit(0))).alias("all_different"),
+        )
+    )
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_shares(spark, sf_dir).where("is_short").select("source")
 
@@ -116,6 +144,11 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates(p9_scores(spark, sf_dir))
 
 
+def p9_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of labelled documents, without their own labels, against the share of positive ones."""
+    return calibration_table(table(spark, sf_dir, "documents"), table(spark, sf_dir, "review_labels"), table(spark, sf_dir, "term_list"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_scores(spark, sf_dir).where(F.col("score") >= THRESHOLD).select("doc_id").distinct()
 
@@ -146,12 +179,15 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_pack": p7_pack,
     "p7_fill": p7_fill,
+    "p7_documents": p7_documents,
+    "p8_reached": p8_reached,
     "p8_found": p8_found,
     "p8_mix": p8_mix,
     "p8_shares": p8_shares,
     "p9_found": p9_found,
     "p9_scores": p9_scores,
     "p9_rates": p9_rates,
+    "p9_calibration": p9_calibration,
 }
 
 ORACLE = {
@@ -178,6 +214,12 @@ ORACLE = {
     + " unnest(quantile_cont(CAST(v AS DOUBLE), [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99])) AS i FROM vals GROUP BY 1, 2)"
     + " SELECT field_name, group_key, percent, n_values, lower, round(i, 4) AS interpolated FROM q",
     "p7_found": "SELECT doc_id FROM documents WHERE strlen(text) > 8192",
+    "p7_documents": """SELECT doc_id, coalesce(strlen(text), 0) AS tokens, (coalesce(strlen(text), 0) + 8191) // 8192 AS n_pieces, coalesce(strlen(text), 0) AS end_at,
+      CAST(0 AS BIGINT) AS n_overfull FROM documents""",
+    "p8_reached": """SELECT t.source, CAST(coalesce(d.n, 0) AS BIGINT) AS available_tokens, round(t.target_share * a.n, 3) AS wanted_tokens,
+      coalesce(d.n, 0) * t.max_repeats < t.target_share * a.n AS is_short, true AS share_kept, true AS repeats_kept, true AS all_different
+      FROM mix_targets t LEFT JOIN (SELECT lower(trim(source)) AS source, sum(strlen(text)) AS n FROM documents GROUP BY 1) d ON lower(trim(t.source)) = d.source,
+      (SELECT sum(strlen(text)) AS n FROM documents) a""",
     "p8_found": """SELECT t.source FROM mix_targets t LEFT JOIN (
         SELECT lower(trim(source)) AS source, sum(strlen(text)) AS n FROM documents GROUP BY 1) d ON lower(trim(t.source)) = d.source
       WHERE coalesce(d.n, 0) * t.max_repeats < t.target_share * (SELECT sum(strlen(text)) FROM documents)""",

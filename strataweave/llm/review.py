@@ -3,9 +3,14 @@
 Documents are read as messages and cut into passages (:mod:`.mailtext`). The
 examples are passages of a bounded sample of labelled documents. A label holds
 for a document, so the passages it is about are found first: those of positive
-documents whose neighbours come from positive documents as well. A passage of
-any document is scored by a vote of its nearest examples, weighted by cosine; a
-document has the score of its highest passage, which is the evidence.
+documents whose neighbours come from positive documents as well, and that are not
+spread over many documents without a label. A passage of any document gets a vote
+of its nearest examples, weighted by cosine; a document has the vote of its
+highest passage, which is the evidence. A labelled document never takes part in
+its own vote, nor do copies of it.
+
+Votes are turned into scores by a calibration (:mod:`.calibration`) on the votes
+of the labelled documents, each without its own label.
 
 Word weights use document frequencies over all documents. Every passage of every
 document is searched, exactly, on a block-max inverted index of the examples
@@ -15,18 +20,21 @@ documents themselves are never shuffled.
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataweave.llm.calibration import Calibration, copies, fold_of, reliability
 from strataweave.llm.mailtext import passages
 from strataweave.llm.mixing import source_key
 from strataweave.llm.neighbours import BlockMaxIndex, Vectors, tf_idf
@@ -34,18 +42,23 @@ from strataweave.sources.storage import materialize
 
 VERDICTS = ("abusive", "hateful", "sexual")
 #: Bounds of the labelled sample, positive and clean documents.
-MAX_POSITIVE = 5_000
-MAX_CLEAN = 8_000
+MAX_POSITIVE = 6_000
+MAX_CLEAN = 10_000
 NEIGHBOURS = 12
 FLOOR = 0.35
 #: Weight of the prior in a vote, in examples with cosine 1.
 PRIOR_WEIGHT = 0.1
 #: Weight of a passage of a positive document that has no other example near: with a listed term, and without.
 LONELY_WEIGHT = (0.8, 0.25)
+#: Weight of a document without a label as a clean one, for the passages of positive documents that it contains.
+BACKGROUND_WEIGHT = 0.1
 #: Weight of a listed term as an example, and the least severity it takes.
 TERM_WEIGHT = 0.6
 TERM_SEVERITY = 2
+#: Parts of the sample that are voted on by the others.
+FOLDS = 5
 _MARKS = 8_000_000
+_SEARCHED = 20_000
 THRESHOLD = 0.5
 
 
@@ -68,6 +81,7 @@ class Words:
             if len(w) >= 6:
                 for j in range(1, len(w)):
                     self.shorter.setdefault(w[:j] + w[j + 1 :], i)
+        self.longest = max(map(len, known), default=0)
         self.cache: dict[str, tuple[int, ...]] = {}
 
     def numbers(self, word: str) -> tuple[int, ...]:
@@ -113,12 +127,12 @@ class Words:
         """Known words that make up a word when written together, as few as possible."""
         best: list[tuple[int, ...] | None] = [()] + [None] * len(w)
         for end in range(1, len(w) + 1):
-            for start in range(max(0, end - 20), end):
+            for start in range(max(0, end - self.longest), end):
                 part = w[start:end]
                 if best[start] is not None and part in self.number and (len(part) > 2 or part == "a"):
                     if best[end] is None or len(best[start]) + 1 < len(best[end]):
                         best[end] = (*best[start], self.number[part])
-        return best[-1] if best[-1] and len(best[-1]) <= 5 else ()
+        return best[-1] or ()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Starts and word numbers of passages of words joined by blanks; unknown words get the number after the last."""
@@ -148,15 +162,19 @@ class Labelled:
     """Passages of one labelled document, its positive verdict or an empty string, and how many documents it stands for."""
 
     verdict: str
-    passages: list[str]
+    passages: Sequence[str] | pa.Array
     weight: float = 1.0
+    doc_id: int | None = None
+
+    def texts(self) -> pa.Array:
+        return self.passages if isinstance(self.passages, pa.Array) else pa.array(self.passages, pa.string())
 
 
 def learn_words(sample: Iterable[Labelled]) -> Words:
     """Words of the sample; words of one document only where no other known word is near."""
     n = Counter()
     for d in sample:
-        n.update({w for p in d.passages for w in p.split(" ")})
+        n.update({w for p in d.texts().to_pylist() for w in p.split(" ")})
     common = Words(sorted(w for w, k in n.items() if k > 1 and "*" not in w))
     rare = [w for w, k in n.items() if w not in common.number and "*" not in w and not common.numbers(w)]
     return Words(sorted([*common.known, *rare]))
@@ -175,9 +193,12 @@ class Model:
         return tf_idf(*self.words.encode(texts), self.idf)
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Score and verdict number of each passage."""
-        score, kind = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        q = self.vectors(texts)
+        """Vote and verdict number of each passage."""
+        return self.search(self.vectors(texts))
+
+    def search(self, q: Vectors) -> tuple[np.ndarray, np.ndarray]:
+        n = len(q.start) - 1
+        score, kind = np.zeros(n), np.zeros(n, np.int64)
         near = np.unique(self.suspects.search(q, 1, FLOOR).query)
         if len(near):
             votes, _ = vote(self.index, q.pick(near), self.positive, self.clean)
@@ -195,64 +216,145 @@ def vote(index: BlockMaxIndex, q: Vectors, positive: np.ndarray, clean: np.ndarr
     return (yes + PRIOR_WEIGHT * prior / positive.shape[1]) / (yes.sum(1) + no + PRIOR_WEIGHT)[:, None], yes.sum(1) + no
 
 
-def fit(sample: list[Labelled], words: Words, document_frequency: np.ndarray, n_docs: int, terms: Iterable[Labelled] = ()) -> Model | None:
+class Seen(NamedTuple):
+    """Passages and the number of documents, of all, that contain them."""
+
+    passage: pa.Array
+    n: np.ndarray
+
+
+@dataclass
+class Examples:
+    """The sample with its distinct passages numbered."""
+
+    words: Words
+    idf: np.ndarray
+    texts: pa.Array  # the distinct passages
+    vectors: Vectors
+    of_doc: list[np.ndarray]  # passages of each document
+    verdict: np.ndarray  # of each document, -1 if clean
+    weight: np.ndarray
+    terms: list[tuple[int, int]]  # passage and verdict of each listed term
+    listed: np.ndarray  # whether a passage contains one
+    n_seen: np.ndarray  # documents with a passage of a positive document, else 0
+
+    @classmethod
+    def of(cls, sample: list[Labelled], words: Words, document_frequency: np.ndarray, n_docs: int, terms: Iterable[Labelled] = (), seen: Seen | None = None) -> Examples:
+        terms = list(terms)
+        usual = np.median(document_frequency[document_frequency > 0]) if (document_frequency > 0).any() else 1
+        idf = np.log(1 + n_docs / np.maximum(1, np.r_[document_frequency, usual]))
+        parts = [x.texts() for x in (*sample, *terms)]
+        coded = pa.concat_arrays([p.cast(pa.string()) for p in parts] or [pa.array([], pa.string())]).dictionary_encode()
+        texts = coded.dictionary
+        ids = [np.unique(i).astype(np.int64) for i in np.split(coded.indices.to_numpy(), np.cumsum([len(p) for p in parts])[:-1])][: len(parts)]
+        n_seen = np.zeros(len(texts))
+        if seen is not None and len(seen.passage):
+            at = pc.index_in(texts, value_set=seen.passage)
+            found = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            n_seen[found] = seen.n[at.take(pa.array(found)).to_numpy()]
+        return cls(
+            words, idf, texts, tf_idf(*words.encode(texts), idf), ids[: len(sample)],
+            np.array([VERDICTS.index(d.verdict) if d.verdict else -1 for d in sample], np.int64), np.array([d.weight for d in sample]),
+            [(int(i), VERDICTS.index(t.verdict)) for t, one in zip(terms, ids[len(sample) :], strict=True) for i in one],
+            _contain(texts, [p for t in terms for p in t.passages]), n_seen,
+        )
+
+
+def fit(sample: list[Labelled], words: Words, document_frequency: np.ndarray, n_docs: int, terms: Iterable[Labelled] = (), seen: Seen | None = None) -> Model | None:
     """Examples and their votes; None without a positive document or term.
 
     ``terms`` are examples of their own with a lower weight, and lend weight to
-    passages that contain them and stand alone.
+    passages that contain them and stand alone. ``seen`` counts the documents, with
+    and without a label, that contain a passage of a positive document.
     """
-    terms = list(terms)
-    n_bad = sum(d.weight for d in sample if d.verdict)
-    if not n_bad and not terms:
+    return learn(Examples.of(sample, words, document_frequency, n_docs, terms, seen))
+
+
+def learn(x: Examples, left_out: np.ndarray | None = None) -> Model | None:
+    """The model of the documents of the sample but those that are left out."""
+    docs = [k for k in range(len(x.of_doc)) if left_out is None or not left_out[k]]
+    bad_docs = [k for k in docs if x.verdict[k] >= 0]
+    if not bad_docs and not x.terms:
         return None
-    usual = np.median(document_frequency[document_frequency > 0]) if (document_frequency > 0).any() else 1
-    idf = np.log(1 + n_docs / np.maximum(1, np.r_[document_frequency, usual]))
-    number: dict[str, int] = {}
-    for d in sample:
-        for p in d.passages:
-            number.setdefault(p, len(number))
-    term_ids = [(number.setdefault(p, len(number)), VERDICTS.index(t.verdict)) for t in terms for p in t.passages]
-    texts = pa.array(list(number), pa.string())
-    vectors = tf_idf(*words.encode(texts), idf)
-    clean, bad = np.zeros(len(number)), np.zeros((len(number), len(VERDICTS)))
-    for d in sample:
-        ids = np.array([number[p] for p in dict.fromkeys(d.passages)], np.int64)
-        if d.verdict:
-            bad[ids, VERDICTS.index(d.verdict)] += d.weight
+    n, vectors = len(x.texts), x.vectors
+    clean, bad = np.zeros(n), np.zeros((n, len(VERDICTS)))
+    for k in docs:
+        if x.verdict[k] >= 0:
+            bad[x.of_doc[k], x.verdict[k]] += x.weight[k]
         else:
-            clean[ids] += d.weight
-    index = BlockMaxIndex(vectors, len(words.known))
+            clean[x.of_doc[k]] += x.weight[k]
+    # Documents without a label speak, with little weight each, against what is all over the place.
+    spread = np.where(bad.sum(1) > 0, np.maximum(0, x.n_seen - clean - bad.sum(1)), 0)
+    against = clean + BACKGROUND_WEIGHT * spread
+    of = lambda rows: BlockMaxIndex(vectors.pick(rows), len(x.words.known))
 
     # Which passages of the positive documents are meant: in each, those with the highest share of positive documents around.
     # A passage known from clean documents as often as from others is not one of them.
-    some = np.flatnonzero((bad.sum(1) > 0) & (clean <= bad.sum(1)))
-    share, weight = np.zeros(len(number)), np.zeros(len(number))
-    base = n_bad / max(1, sum(d.weight for d in sample))
-    votes, mass = vote(index, vectors.pick(some), bad, clean, base, 0.5)
-    share[some], weight[some] = votes.sum(1), mass
+    all_ = np.flatnonzero((bad.sum(1) > 0) | (clean > 0))
+    some = np.flatnonzero((bad.sum(1) > 0) & (against <= bad.sum(1)))
+    index, share = of(all_), np.zeros(n)
+    base = sum(x.weight[k] for k in bad_docs) / max(1, sum(x.weight[k] for k in docs))
+    share[some] = vote(index, vectors.pick(some), bad[all_], against[all_], base, 0.5)[0].sum(1)
     meant = np.zeros_like(bad)
-    for d in sample:
-        if d.verdict and d.passages:
-            ids = np.array([number[p] for p in dict.fromkeys(d.passages)], np.int64)
-            top = share[ids].max()
-            if top >= max(0.5, base):
-                meant[ids[share[ids] >= top - 0.1], VERDICTS.index(d.verdict)] += d.weight
+    for k in bad_docs:
+        at = x.of_doc[k]
+        if len(at) and (top := share[at].max()) >= max(0.5, base):
+            meant[at[share[at] >= top - 0.1], x.verdict[k]] += x.weight[k]
     # Once more with what was found: of the other passages of positive documents nothing is known.
     some = np.flatnonzero(meant.sum(1) > 0)
-    again, mass = vote(index, vectors.pick(some), meant, clean)
+    again, mass = vote(index, vectors.pick(some), meant[all_], against[all_])
     # What the others say: without one document's own word.
-    own = max((d.weight for d in sample if d.verdict), default=1.0)  # the same for all positive documents
+    own = max((x.weight[k] for k in bad_docs), default=1.0)  # the same for all positive documents
     others = mass - own
     alone = (again.sum(1) * (mass + PRIOR_WEIGHT) - own) / np.maximum(others + PRIOR_WEIGHT, 1e-9)
     lonely = others < 0.5  # nothing else is near
     meant[some[(alone < 0.25) & ~lonely]] = 0
-    listed = _contain(texts.take(pa.array(some[lonely])), [p for t in terms for p in t.passages])
-    meant[some[lonely]] *= np.where(listed, *LONELY_WEIGHT)[:, None]
-    for i, c in term_ids:
+    meant[some[lonely]] *= np.where(x.listed[some[lonely]], *LONELY_WEIGHT)[:, None]
+    for i, c in x.terms:
         meant[i, c] = max(meant[i, c], TERM_WEIGHT)
     kept = np.flatnonzero(meant.sum(1) > 0)
     used = np.flatnonzero((meant.sum(1) > 0) | (clean > 0))
-    return Model(words, idf, BlockMaxIndex(vectors.pick(kept), len(words.known)), BlockMaxIndex(vectors.pick(used), len(words.known)), meant[used], clean[used])
+    return Model(x.words, x.idf, of(kept), of(used), meant[used], against[used])
+
+
+class Votes(NamedTuple):
+    """Votes of the documents of the sample, from models that have seen neither their labels nor those of their copies."""
+
+    vote: np.ndarray
+    kind: np.ndarray
+    evidence: list[str | None]
+
+
+def cross_votes(spark: SparkSession, x: Examples) -> Votes:
+    """``FOLDS`` models, each fitted in a task of its own without the documents of a fold, which it then votes on."""
+    fold = fold_of(copies(x.of_doc), FOLDS)
+    shared = _shared(spark, (x, fold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b["id"].to_pylist():
+                x, fold = shared()
+                model = learn(x, fold == k)
+                docs = np.flatnonzero(fold == k)
+                if model is None or not len(docs):
+                    continue
+                passage = np.unique(np.concatenate([x.of_doc[d] for d in docs]))
+                score, kind = np.zeros(len(x.texts)), np.zeros(len(x.texts), np.int64)
+                for part in np.split(passage, range(_SEARCHED, len(passage), _SEARCHED)):
+                    if len(part):
+                        score[part], kind[part] = model.search(x.vectors.pick(part))
+                best = np.array([x.of_doc[d][score[x.of_doc[d]].argmax()] if len(x.of_doc[d]) else -1 for d in docs])
+                hit = (best >= 0) & (score[best] > 0)
+                docs, best = docs[hit], best[hit]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(docs, pa.int32()), pa.array(score[best]), pa.array(kind[best], pa.int32()), x.texts.take(pa.array(best))], ["doc", "vote", "kind", "evidence"]
+                )
+
+    n = len(x.of_doc)
+    out = Votes(np.zeros(n), np.zeros(n, np.int64), [None] * n)
+    for r in spark.range(0, FOLDS, 1, FOLDS).mapInArrow(run, "doc int, vote double, kind int, evidence string").collect():  # a row a document of the sample
+        out.vote[r["doc"]], out.kind[r["doc"]], out.evidence[r["doc"]] = r["vote"], r["kind"], r["evidence"]
+    return out
 
 
 def _contain(texts: pa.Array, folded: list[str]) -> np.ndarray:
@@ -295,7 +397,10 @@ def labelled_sample(read: DataFrame, labels: DataFrame) -> list[Labelled]:
     n = per_doc.agg(F.count_if(F.col("verdict") != "").alias("bad"), F.count_if(F.col("verdict") == "").alias("clean")).first()
     bad, clean = max(1.0, n["bad"] / MAX_POSITIVE), max(1.0, n["clean"] / MAX_CLEAN)
     # A repeated document counts once; the sample is bounded, so is what the driver gets.
-    return list({r["doc_id"]: Labelled(r["verdict"], r["passages"], bad if r["verdict"] else clean) for r in rows.collect()}.values())
+    t = rows.select("doc_id", "verdict", "passages").toArrow().combine_chunks()
+    ids, verdicts, lists = t["doc_id"].to_pylist(), t["verdict"].to_pylist(), t["passages"]
+    once = {d: i for i, d in enumerate(ids)}
+    return [Labelled(verdicts[i], lists[i].values, bad if verdicts[i] else clean, d) for d, i in once.items()]
 
 
 def _shared(spark, value):
@@ -317,14 +422,17 @@ def term_examples(terms: DataFrame) -> list[Labelled]:
     return [Labelled(r["category"], [" ".join(p) for p in passages(r["term"])]) for r in rows.distinct().orderBy("category", "term").collect()]
 
 
-def word_documents(read: DataFrame, words: Words) -> np.ndarray:
-    """Number of documents with each known word, over all documents."""
-    shared = _shared(read.sparkSession, words)
+def word_documents(read: DataFrame, words: Words, sample: Iterable[Labelled] = ()) -> tuple[np.ndarray, Seen]:
+    """Number of documents with each known word, and with each passage of a positive document of the sample, over all documents."""
+    positive = [d.texts() for d in sample if d.verdict]
+    wanted = pa.concat_arrays(positive).unique() if positive else pa.array([], pa.string())
+    shared = _shared(read.sparkSession, (words, wanted))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared()
+        known, wanted = shared()
         n = len(known.known)
-        total = np.zeros(n, np.int64)
+        number = {p: i for i, p in enumerate(wanted.to_pylist())}
+        total, found = np.zeros(n, np.int64), np.zeros(len(number), np.int64)
         for b in batches:
             step = max(1, _MARKS // max(1, n))
             for i in range(0, b.num_rows, step):
@@ -334,13 +442,17 @@ def word_documents(read: DataFrame, words: Words) -> np.ndarray:
                     seen = np.zeros((int(doc[-1]) + 1, n + 1), bool)
                     seen[np.repeat(doc, np.diff(start)), ids] = True
                     total += seen[:, :n].sum(0)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used])], ["word", "n"])
+                    if number:
+                        hit = [k for p in texts.to_pylist() if (k := number.get(p)) is not None]
+                        np.add.at(found, np.array(hit, np.int64), 1)
+        both = np.r_[total, found]
+        used = np.flatnonzero(both)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(both[used])], ["item", "n"])
 
-    out = np.zeros(len(words.known), np.int64)
-    for r in read.select("passages").mapInArrow(count, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).collect():
-        out[r["word"]] = r["n"]
-    return out
+    out = np.zeros(len(words.known) + len(wanted), np.int64)
+    for r in read.select("passages").mapInArrow(count, "item int, n long").groupBy("item").agg(F.sum("n").alias("n")).collect():
+        out[r["item"]] = r["n"]
+    return out[: len(words.known)], Seen(wanted, out[len(words.known) :])
 
 
 def _flat(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
@@ -350,51 +462,101 @@ def _flat(b: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
     return lists.flatten(), np.repeat(np.arange(len(n)), n)
 
 
-def scores(docs: DataFrame, labels: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``doc_id, source, score, verdict, evidence`` for every document.
+class Learned(NamedTuple):
+    read: DataFrame
+    sample: list[Labelled]
+    examples: Examples
+    votes: Votes
+    calibration: Calibration
 
-    ``docs``: ``doc_id, source, text``; ``labels``: ``doc_id, verdict``; ``terms``: a
-    short list, ``term, category, severity``, which is collected. ``score``
-    lies between 0 and 1; ``verdict`` and ``evidence`` (the folded passage) are null
-    where it is 0. Null and empty texts have score 0. Repeated rows are scored
-    each. Of equal passages the first is the evidence. Other columns are not read.
-    Without a positive label or term all scores are 0. An empty table gives no rows.
-    """
+
+def _learned(docs: DataFrame, labels: DataFrame, terms: DataFrame | None) -> Learned:
     read = read_passages(docs)
     sample = labelled_sample(read, labels)
     listed = term_examples(terms) if terms is not None else []
     words = learn_words([*sample, *listed])
-    model = fit(sample, words, word_documents(read, words), read.count(), listed)
-    shared = _shared(read.sparkSession, model)
-    del model, words, sample
+    frequency, seen = word_documents(read, words, sample)
+    x = Examples.of(sample, words, frequency, read.count(), listed, seen)
+    votes = cross_votes(read.sparkSession, x)
+    return Learned(read, sample, x, votes, Calibration.fitted(votes.vote, x.verdict >= 0, x.weight))
+
+
+def _mark(texts: pa.Array) -> bytes:
+    """Tells the texts of a document from those of another row with its number."""
+    return hashlib.blake2b("\n".join(texts.to_pylist()).encode("utf-8", "surrogatepass"), digest_size=8).digest()
+
+
+def scores(docs: DataFrame, labels: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """``doc_id, source, score, score_low, score_high, verdict, evidence`` for every document.
+
+    ``docs``: ``doc_id, source, text``; ``labels``: ``doc_id, verdict``; ``terms``: a
+    short list, ``term, category, severity``, which is collected. ``score``, between 0
+    and 1, is the share of positive ones among labelled documents with such a vote;
+    ``score_low`` and ``score_high`` are the ends of its interval of 95 %, which is
+    wide where labels are few. ``verdict`` and ``evidence`` (the folded passage) are
+    null where no positive example is near; the score is 0 there. A document of the
+    labelled sample is voted on by a model that has not seen its label, nor those of
+    its copies. Null and empty texts have score 0. Repeated rows are scored each. Of
+    equal passages the first is the evidence. Other columns are not read. Without a
+    positive label or term all scores are 0. An empty table gives no rows.
+    """
+    found = _learned(docs, labels, terms)
+    model, calibration, read = learn(found.examples), found.calibration, found.read
+    own = {
+        d.doc_id: (_mark(d.texts()), float(v), int(k), e) for d, v, k, e in zip(found.sample, *found.votes, strict=True)
+    }
+    shared = _shared(read.sparkSession, (model, own))
+    del model, own, found
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared()
+        model, own = shared()
         for b in batches:
             best, kind, proof = np.zeros(b.num_rows), np.zeros(b.num_rows, np.int64), np.full(b.num_rows, -1)
             texts, doc = _flat(b)
+            labelled = [(i, own[d]) for i, d in enumerate(b["doc_id"].to_pylist()) if d in own and _mark(b["passages"][i].values) == own[d][0]]
+            open_ = np.ones(b.num_rows, bool)
+            open_[[i for i, _ in labelled]] = False
             if len(texts) and model is not None:
-                s, k = model.score(texts)
+                rows = np.flatnonzero(open_[doc])
+                s, k = model.score(texts.take(pa.array(rows)))
                 by = np.lexsort((-np.arange(len(s)), s))  # the highest, and of those the first, is written last
-                best[doc[by]], kind[doc[by]], proof[doc[by]] = s[by], k[by], by
+                best[doc[rows[by]]], kind[doc[rows[by]]], proof[doc[rows[by]]] = s[by], k[by], rows[by]
+            evidence = texts.take(pa.array(proof, mask=best <= 0)).to_pylist() if labelled else None
+            for i, (_, v, k, e) in labelled:
+                best[i], kind[i], evidence[i] = v, k, e
             none = best <= 0
             yield pa.RecordBatch.from_arrays(
                 [
                     b["doc_id"],
                     b["source"],
-                    pa.array(np.minimum(best, 1.0)),
+                    *(pa.array(np.where(none, 0.0, x)) for x in calibration.interval(best)),
                     pa.array(VERDICTS, pa.string()).take(pa.array(kind, mask=none)),
-                    texts.take(pa.array(proof, mask=none)),
+                    texts.take(pa.array(proof, mask=none)) if evidence is None else pa.array(evidence, pa.string()),
                 ],
-                ["doc_id", "source", "score", "verdict", "evidence"],
+                ["doc_id", "source", "score", "score_low", "score_high", "verdict", "evidence"],
             )
 
-    return read.mapInArrow(score, "doc_id long, source string, score double, verdict string, evidence string")
+    return read.mapInArrow(score, "doc_id long, source string, score double, score_low double, score_high double, verdict string, evidence string")
+
+
+def calibration_table(docs: DataFrame, labels: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """How far scores can be taken as shares: ``low, high, n_labelled, mean_score, positive_share``, a row per tenth that occurs.
+
+    Over the labelled sample, voted on without the own labels; the calibration of one
+    half is tested on the other. Documents with no example near have score 0.
+    """
+    found = _learned(docs, labels, terms)
+    rows = reliability(found.votes.vote, found.examples.verdict >= 0, found.examples.weight)
+    return docs.sparkSession.createDataFrame(rows, "low double, high double, n_labelled long, mean_score double, positive_share double")
 
 
 def rates(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``source, n_docs, n_flagged, flagged_share, mean_score``; a null source has a row of its own."""
-    hit = F.when(F.col("score") >= threshold, 1).otherwise(0)
+    """``source, n_docs, n_flagged, n_sure, flagged_share, mean_score``; a null source has a row of its own.
+
+    ``n_sure`` counts documents whose whole interval lies at or above the threshold:
+    far fewer than ``n_flagged`` where labels are too few to rely on the rate.
+    """
+    hit, sure = (F.when(F.col(c) >= threshold, 1).otherwise(0) for c in ("score", "score_low"))
     return scored.groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(hit).alias("n_flagged"), F.avg(hit).alias("flagged_share"), F.avg("score").alias("mean_score")
+        F.count(F.lit(1)).alias("n_docs"), F.sum(hit).alias("n_flagged"), F.sum(sure).alias("n_sure"), F.avg(hit).alias("flagged_share"), F.avg("score").alias("mean_score")
     )

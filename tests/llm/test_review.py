@@ -8,9 +8,10 @@ import pyarrow as pa
 import pytest
 
 from strataweave.llm import review
+from strataweave.llm.calibration import Calibration, copies, fold_of, reliability
 from strataweave.llm.mailtext import fold, passages
 from strataweave.llm.neighbours import BlockMaxIndex, tf_idf
-from strataweave.llm.review import THRESHOLD, Labelled, Words, fit, labelled_sample, learn_words, rates, scores
+from strataweave.llm.review import THRESHOLD, Labelled, Seen, Words, fit, labelled_sample, learn_words, rates, scores
 
 
 def vectors(rng, n, terms):
@@ -194,3 +195,57 @@ def test_whole_part_decides():
     assert not passages(_encoded(bytes(range(256)) * 40))
     preamble = "A line before the page.\n" * 200
     assert ("stu", "pid", "gose", "inded") in passages(f"From: a\n\n{preamble}\n\n<html><p>Stu<b></b>pid goose indeed.</p></html>")
+
+
+def test_deep_parts_and_short_sentences():
+    text = "You filthy pig, go"
+    for i in range(12):
+        text = f"Content-Type: multipart/mixed; boundary=\"b{i}\"\n\n--b{i}\n{text if i else 'Content-Type: text/plain' + chr(10) * 2 + text}\n--b{i}--\n"
+    assert ("you", "filthy", "pig", "go") in passages("From: a\n" + text)
+    assert ("pig",) in passages("From: a\n\nPig!\n\nHm.\n")
+
+
+def test_a_long_run_of_known_words_is_split():
+    w = Words(["you", "are", "a", "useles", "stupid", "dimwit", "goseberyharvesterdriver"])
+    assert [w.known[i] for i in w.numbers("youareauselesstupidgoseberyharvesterdriver")] == ["you", "are", "a", "useles", "stupid", "goseberyharvesterdriver"]
+
+
+def test_no_document_votes_for_itself_or_its_copies(spark):
+    """Two positive documents, copies of each other, with words that nobody else uses: no evidence but their own labels."""
+    own = "The zorbian gadget rattles loudly at night. A purple lantern sways over the quiet meadow. Seven drums were left behind the barn. Nobody fed the heron this week."
+    rows = [(i, "s", f"From: x\n\nThe pallet {'abcdefghij'[i % 10]}x{'klmnopqrst'[i // 10]} is stuck again.\nPlease send the invoice before noon.") for i in range(60)]
+    rows += [(100, "s", f"From: x\n\n{own}"), (101, "s", f"From: x\n\n{own}"), (102, "s", f"From: x\n\n{own}")]
+    labels = [(i, "ok") for i in range(60)] + [(100, "abusive"), (101, "abusive")]
+    out = scores(spark.createDataFrame(rows, "doc_id long, source string, text string"), spark.createDataFrame(labels, "doc_id long, verdict string"))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[100]["score"] == got[101]["score"] == 0 and got[100]["evidence"] is None
+    assert got[102]["verdict"] == "abusive" and got[102]["score"] > 0
+
+
+def test_copies():
+    docs = [np.array(x, np.int64) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5], [1, 2, 3, 4, 6], [1, 7, 8], [], [], [9], [1, 2, 3, 4, 5, 10, 11])]
+    g = copies(docs)
+    assert g[0] == g[1] == g[2] and len({g[0], g[3], g[6], g[7]}) == 4 and g[4] == g[5]
+    assert len(set(fold_of(g, 3)[:3])) == 1
+
+
+def test_calibration_gives_shares():
+    rng = np.random.default_rng(4)
+    votes = rng.random(4000)
+    truth = rng.random(4000) < votes**3  # votes that are too sure
+    c = Calibration.fitted(votes, truth, np.ones(4000))
+    score, low, high = c.interval(np.array([0.3, 0.5, 0.8]))
+    assert np.abs(score - np.array([0.3, 0.5, 0.8]) ** 3).max() < 0.08 and (low < score).all() and (score < high).all() and (high - low).max() < 0.1
+    few = Calibration.fitted(votes[:6], truth[:6], np.ones(6)).interval(np.array([0.6]))
+    assert few[2][0] - few[1][0] > 0.3
+    assert Calibration.fitted(np.zeros(5), np.ones(5, bool), np.ones(5)).interval(np.array([0.7]))[0][0] == pytest.approx(0.7)
+    for low, high, n, mean, share in reliability(votes, truth, np.ones(4000)):
+        assert low <= mean <= high and n > 0 and abs(mean - share) < 0.12
+
+
+def test_what_is_all_over_the_unlabelled_documents_is_no_example():
+    spread = "this mesage is confidential"
+    sample = [Labelled("abusive", [spread, "qux bar lorem"])] * 2 + [Labelled("", ["clean words here"])] * 2
+    words = learn_words(sample)
+    of = lambda n: fit(sample, words, np.full(len(words.known), 3), 1000, seen=Seen(pa.array([spread]), np.array([n]))).score(pa.array([spread]))[0][0]
+    assert of(2) >= THRESHOLD > of(80)
