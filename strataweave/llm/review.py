@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from strataweave.llm.calibration import Calibration, copies, fold_of, reliability
 from strataweave.llm.mailtext import passages
 from strataweave.llm.mixing import source_key
-from strataweave.llm.neighbours import BlockMaxIndex, Vectors, tf_idf
+from strataweave.llm.neighbours import BlockMaxIndex, Vectors, ranges, tf_idf
 from strataweave.sources.storage import materialize
 
 VERDICTS = ("abusive", "hateful", "sexual")
@@ -57,6 +57,8 @@ TERM_WEIGHT = 0.6
 TERM_SEVERITY = 2
 #: Parts of the sample that are voted on by the others.
 FOLDS = 5
+#: Neighbours that are kept of each passage for models of parts of the sample.
+NEAR = 24
 _MARKS = 8_000_000
 _SEARCHED = 20_000
 THRESHOLD = 0.5
@@ -193,8 +195,11 @@ class Model:
         return tf_idf(*self.words.encode(texts), self.idf)
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Vote and verdict number of each passage."""
-        return self.search(self.vectors(texts))
+        """Vote and verdict number of each passage; equal ones are searched once."""
+        coded = texts.dictionary_encode()
+        score, kind = self.search(self.vectors(coded.dictionary))
+        at = coded.indices.to_numpy()
+        return score[at], kind[at]
 
     def search(self, q: Vectors) -> tuple[np.ndarray, np.ndarray]:
         n = len(q.start) - 1
@@ -208,12 +213,8 @@ class Model:
 
 def vote(index: BlockMaxIndex, q: Vectors, positive: np.ndarray, clean: np.ndarray, prior: float = 0.0, floor: float = FLOOR) -> tuple[np.ndarray, np.ndarray]:
     """Share of the positive verdicts among the nearest examples, weighted by the square of the cosine, and the weight."""
-    n = len(q.start) - 1
     m = index.search(q, NEIGHBOURS, floor)
-    w = m.cosine**2
-    yes = np.stack([np.bincount(m.query, w * positive[m.example, c], n) for c in range(positive.shape[1])], 1)
-    no = np.bincount(m.query, w * clean[m.example], n)
-    return (yes + PRIOR_WEIGHT * prior / positive.shape[1]) / (yes.sum(1) + no + PRIOR_WEIGHT)[:, None], yes.sum(1) + no
+    return _shares(m.query, m.example, m.cosine**2, len(q.start) - 1, positive, clean, prior)
 
 
 class Seen(NamedTuple):
@@ -270,7 +271,65 @@ def fit(sample: list[Labelled], words: Words, document_frequency: np.ndarray, n_
     return learn(Examples.of(sample, words, document_frequency, n_docs, terms, seen))
 
 
-def learn(x: Examples, left_out: np.ndarray | None = None) -> Model | None:
+class Near(NamedTuple):
+    """The up to ``NEAR`` nearest passages of the sample to each passage of a positive document, nearest first."""
+
+    passage: np.ndarray
+    start: np.ndarray
+    example: np.ndarray
+    cosine: np.ndarray
+
+
+def near_passages(spark: SparkSession, x: Examples) -> Near:
+    """Searched once, in parts, for all models that are fitted to parts of the sample."""
+    wanted = np.unique(np.concatenate([np.zeros(0, np.int64), *(at for at, v in zip(x.of_doc, x.verdict, strict=True) if v >= 0)]))
+    parts = max(1, min(64, len(wanted) // 2_000))
+    shared = _shared(spark, (x, wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b["id"].to_pylist():
+                x, wanted = shared()
+                mine = wanted[k::parts]
+                m = BlockMaxIndex(x.vectors, len(x.words.known)).search(x.vectors.pick(mine), NEAR, FLOOR)
+                yield pa.RecordBatch.from_arrays([pa.array(mine[m.query]), pa.array(m.example), pa.array(m.cosine)], ["passage", "example", "cosine"])
+
+    t = spark.range(0, parts, 1, parts).mapInArrow(run, "passage long, example long, cosine double").toArrow()  # NEAR rows a passage of the sample at most
+    passage, example, cosine = (t[c].to_numpy() for c in ("passage", "example", "cosine"))
+    by = np.lexsort((example, -cosine, passage))
+    return Near(wanted, np.r_[np.searchsorted(passage[by], wanted), len(by)], example[by], cosine[by])
+
+
+def _vote_on(x: Examples, some: np.ndarray, there: np.ndarray, positive: np.ndarray, clean: np.ndarray, prior: float, floor: float, near: Near | None) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`vote` on passages ``some`` by the examples ``there``, from what is known to be near as far as that goes."""
+    used = np.flatnonzero(there)
+    search = lambda rows: vote(BlockMaxIndex(x.vectors.pick(used), len(x.words.known)), x.vectors.pick(rows), positive[used], clean[used], prior, floor)
+    if near is None:
+        return search(some)
+    row = np.searchsorted(near.passage, some)
+    n = near.start[row + 1] - near.start[row]
+    at = ranges(near.start[row], n)
+    query = np.repeat(np.arange(len(some)), n)
+    ok = there[near.example[at]] & (near.cosine[at] >= floor)
+    query, example, w = query[ok], near.example[at][ok], near.cosine[at][ok] ** 2
+    share, mass = _shares(query, example, w, len(some), positive, clean, prior)
+    # More neighbours than were kept, and too few of them are there.
+    cut = (n == NEAR) & (np.bincount(query, minlength=len(some)) < NEIGHBOURS)
+    if cut.any():
+        share[cut], mass[cut] = search(some[cut])
+    return share, mass
+
+
+def _shares(query: np.ndarray, example: np.ndarray, w: np.ndarray, n: int, positive: np.ndarray, clean: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Votes of the first ``NEIGHBOURS`` of each query."""
+    first = np.arange(len(query)) - np.searchsorted(query, query) < NEIGHBOURS
+    query, example, w = query[first], example[first], w[first]
+    yes = np.stack([np.bincount(query, w * positive[example, c], n) for c in range(positive.shape[1])], 1)
+    mass = yes.sum(1) + np.bincount(query, w * clean[example], n)
+    return (yes + PRIOR_WEIGHT * prior / positive.shape[1]) / (mass + PRIOR_WEIGHT)[:, None], mass
+
+
+def learn(x: Examples, left_out: np.ndarray | None = None, near: Near | None = None) -> Model | None:
     """The model of the documents of the sample but those that are left out."""
     docs = [k for k in range(len(x.of_doc)) if left_out is None or not left_out[k]]
     bad_docs = [k for k in docs if x.verdict[k] >= 0]
@@ -290,11 +349,11 @@ def learn(x: Examples, left_out: np.ndarray | None = None) -> Model | None:
 
     # Which passages of the positive documents are meant: in each, those with the highest share of positive documents around.
     # A passage known from clean documents as often as from others is not one of them.
-    all_ = np.flatnonzero((bad.sum(1) > 0) | (clean > 0))
+    there = (bad.sum(1) > 0) | (clean > 0)
     some = np.flatnonzero((bad.sum(1) > 0) & (against <= bad.sum(1)))
-    index, share = of(all_), np.zeros(n)
+    share = np.zeros(n)
     base = sum(x.weight[k] for k in bad_docs) / max(1, sum(x.weight[k] for k in docs))
-    share[some] = vote(index, vectors.pick(some), bad[all_], against[all_], base, 0.5)[0].sum(1)
+    share[some] = _vote_on(x, some, there, bad, against, base, 0.5, near)[0].sum(1)
     meant = np.zeros_like(bad)
     for k in bad_docs:
         at = x.of_doc[k]
@@ -302,7 +361,7 @@ def learn(x: Examples, left_out: np.ndarray | None = None) -> Model | None:
             meant[at[share[at] >= top - 0.1], x.verdict[k]] += x.weight[k]
     # Once more with what was found: of the other passages of positive documents nothing is known.
     some = np.flatnonzero(meant.sum(1) > 0)
-    again, mass = vote(index, vectors.pick(some), meant[all_], against[all_])
+    again, mass = _vote_on(x, some, there, meant, against, 0.0, FLOOR, near)
     # What the others say: without one document's own word.
     own = max((x.weight[k] for k in bad_docs), default=1.0)  # the same for all positive documents
     others = mass - own
@@ -325,16 +384,16 @@ class Votes(NamedTuple):
     evidence: list[str | None]
 
 
-def cross_votes(spark: SparkSession, x: Examples) -> Votes:
+def cross_votes(spark: SparkSession, x: Examples, near: Near) -> Votes:
     """``FOLDS`` models, each fitted in a task of its own without the documents of a fold, which it then votes on."""
     fold = fold_of(copies(x.of_doc), FOLDS)
-    shared = _shared(spark, (x, fold))
+    shared = _shared(spark, (x, fold, near))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in b["id"].to_pylist():
-                x, fold = shared()
-                model = learn(x, fold == k)
+                x, fold, near = shared()
+                model = learn(x, fold == k, near)
                 docs = np.flatnonzero(fold == k)
                 if model is None or not len(docs):
                     continue
@@ -404,14 +463,13 @@ def labelled_sample(read: DataFrame, labels: DataFrame) -> list[Labelled]:
 
 
 def _shared(spark, value):
-    """A broadcast whose classes travel with it; call it on an executor to get the value."""
+    """A broadcast whose classes travel with it; call it on an executor to get the value, unpacked once a worker."""
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    held: list = []
 
     def get():
-        if not held:
-            held.append(cloudpickle.loads(sent.value))
-        return held[0]
+        if not hasattr(sent, "unpacked"):  # a worker has one object for each broadcast
+            sent.unpacked = cloudpickle.loads(sent.value)
+        return sent.unpacked
 
     return get
 
@@ -466,6 +524,7 @@ class Learned(NamedTuple):
     read: DataFrame
     sample: list[Labelled]
     examples: Examples
+    near: Near
     votes: Votes
     calibration: Calibration
 
@@ -477,8 +536,9 @@ def _learned(docs: DataFrame, labels: DataFrame, terms: DataFrame | None) -> Lea
     words = learn_words([*sample, *listed])
     frequency, seen = word_documents(read, words, sample)
     x = Examples.of(sample, words, frequency, read.count(), listed, seen)
-    votes = cross_votes(read.sparkSession, x)
-    return Learned(read, sample, x, votes, Calibration.fitted(votes.vote, x.verdict >= 0, x.weight))
+    near = near_passages(read.sparkSession, x)
+    votes = cross_votes(read.sparkSession, x, near)
+    return Learned(read, sample, x, near, votes, Calibration.fitted(votes.vote, x.verdict >= 0, x.weight))
 
 
 def _mark(texts: pa.Array) -> bytes:
@@ -501,7 +561,7 @@ def scores(docs: DataFrame, labels: DataFrame, terms: DataFrame | None = None) -
     positive label or term all scores are 0. An empty table gives no rows.
     """
     found = _learned(docs, labels, terms)
-    model, calibration, read = learn(found.examples), found.calibration, found.read
+    model, calibration, read = learn(found.examples, None, found.near), found.calibration, found.read
     own = {
         d.doc_id: (_mark(d.texts()), float(v), int(k), e) for d, v, k, e in zip(found.sample, *found.votes, strict=True)
     }

@@ -249,3 +249,17 @@ def test_what_is_all_over_the_unlabelled_documents_is_no_example():
     words = learn_words(sample)
     of = lambda n: fit(sample, words, np.full(len(words.known), 3), 1000, seen=Seen(pa.array([spread]), np.array([n]))).score(pa.array([spread]))[0][0]
     assert of(2) >= THRESHOLD > of(80)
+
+
+def test_kept_neighbours_give_the_same_models(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows, truth = corpus(rng, 200)
+    sample = [Labelled("" if truth[i] == "ok" else truth[i], [" ".join(p) for p in passages(t)], 1.0, i) for i, _, t, *_ in rows]
+    words = learn_words(sample)
+    x = review.Examples.of(sample, words, np.full(len(words.known), 5), 1000)
+    left = np.arange(len(sample)) % 4 == 0
+    plain = review.learn(x, left)
+    for kept in (24, 13):  # with 13, some lists are cut short and searched again
+        monkeypatch.setattr(review, "NEAR", kept)
+        quick = review.learn(x, left, review.near_passages(spark, x))
+        assert np.allclose(plain.positive, quick.positive) and np.allclose(plain.clean, quick.clean)
