@@ -7,6 +7,7 @@ to be written or to replace a view. Checks return the rows that break a rule.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -32,21 +33,22 @@ def insert_values(spark: SparkSession, table: DataFrame, records: Sequence[Mappi
     return out
 
 
-def with_identity(table: DataFrame, rows: DataFrame, column: str, order: Sequence[str], increment: int = 1) -> DataFrame:
-    """``rows`` with ``column`` numbered on from the table's highest value, in the given order.
+def with_identity(table: DataFrame, rows: DataFrame, column: str, order: Sequence[str], increment: int = 1, seed: int = 1) -> DataFrame:
+    """``rows`` with ``column`` numbered on from the table's last value, in the given order; from ``seed`` in an empty table.
 
     New rows are numbered by prefix sums over range partitions, not in one task.
+    Columns of ``rows`` may have any names.
     """
     from strataweave.operators.aggregates import _running_counts
 
-    start = table.agg(F.coalesce(F.max(column), F.lit(0))).first()[0]
-    key = F.struct(*order).alias("v")
-    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    placed, _ = _running_counts(counts)
-    keyed = rows.drop(column).withColumn("v", F.struct(*order))
+    last = table.agg((F.max if increment > 0 else F.min)(F.col(f"`{column}`"))).first()[0]
+    before = seed - increment if last is None else last
+    kept = [F.col(f"`{c}`") for c in rows.columns if c != column]
+    keyed = rows.select(F.struct(*kept).alias("row"), F.struct(*(F.col(f"`{c}`") for c in order)).alias("v"))
+    placed, _ = _running_counts(keyed.groupBy("v").agg(F.count(F.lit(1)).alias("n")))
     nth = F.row_number().over(Window.partitionBy("v").orderBy(F.lit(0)))
-    joined = keyed.join(placed, "v").withColumn(column, F.lit(start) + (F.col("upto") - F.col("n") + nth) * increment)
-    return joined.select(*rows.drop(column).columns, F.col(column).cast("long"))
+    number = F.lit(before) + (F.col("upto") - F.col("n") + nth) * increment
+    return keyed.join(placed, keyed["v"].eqNullSafe(placed["v"])).drop(placed["v"]).select("row.*", number.cast("long").alias(column))
 
 
 def update(table: DataFrame, assign: Mapping[str, Column | object], where: Column | None = None) -> DataFrame:
@@ -103,6 +105,58 @@ def merge(table: DataFrame, source: DataFrame, key: Sequence[str], matched: Mapp
     return both.select(*out)
 
 
+@dataclass(frozen=True)
+class When:
+    """A clause of MERGE: ``kind`` is matched, not_matched or not_matched_by_source; ``action`` update, insert, delete or nothing.
+
+    Conditions and values are expressions over the aliases of both tables.
+    """
+
+    kind: str
+    action: str
+    condition: Column | None = None
+    values: Mapping[str, Column] = field(default_factory=dict)
+
+
+def merge_into(table: DataFrame, source: DataFrame, on: Column, clauses: Sequence[When], alias: str = "t", source_alias: str = "s") -> DataFrame:
+    """MERGE with conditions: the table's columns, and ``change_`` (null, update, insert or delete) and ``old_`` (the row before).
+
+    Of the clauses of its kind the first whose condition is true applies to a row;
+    without one, rows of the table stay and rows of the source are left out. Deleted
+    rows are among the result, marked. Columns without a value are null in inserted
+    rows. Each row of the table may match one row of the source; see :func:`merge_conflicts`.
+    """
+    t = table.withColumn("in_table_", F.lit(True)).alias(alias)
+    s = source.withColumn("in_source_", F.lit(True)).alias(source_alias)
+    both = t.join(s, on, "full" if any(c.action == "insert" for c in clauses) else "left")
+    in_t, in_s = F.col(f"{alias}.in_table_").isNotNull(), F.col(f"{source_alias}.in_source_").isNotNull()
+    kinds = {"matched": in_t & in_s, "not_matched": ~in_t & in_s, "not_matched_by_source": in_t & ~in_s}
+    which = F.lit(-1)
+    for i, c in reversed(list(enumerate(clauses))):
+        hit = kinds[c.kind] & (F.lit(True) if c.condition is None else F.coalesce(c.condition, F.lit(False)))
+        which = F.when(hit, i).otherwise(which)
+    change = F.lit(None).cast("string")
+    for i, c in enumerate(clauses):
+        if c.action != "nothing":
+            change = F.when(F.col("which_") == i, c.action).otherwise(change)
+    out = []
+    for f in table.schema:
+        value = F.col(f"{alias}.`{f.name}`")
+        for i, c in enumerate(clauses):
+            if f.name in c.values:
+                value = F.when(F.col("which_") == i, c.values[f.name]).otherwise(value)
+        out.append(value.cast(f.dataType).alias(f.name))
+    old = F.when(in_t, F.struct(*(F.col(f"{alias}.`{c}`") for c in table.columns)))
+    return both.withColumn("which_", which).where(in_t | F.coalesce(change == "insert", F.lit(False))).select(*out, change.alias("change_"), old.alias("old_"))
+
+
+def merge_conflicts(table: DataFrame, source: DataFrame, on: Column, alias: str = "t", source_alias: str = "s") -> DataFrame:
+    """Rows of the table that match more than one row of the source, by all their columns."""
+    row = F.to_json(F.struct(*(F.col(f"{alias}.`{c}`") for c in table.columns)), {"ignoreNullFields": "false"})
+    numbered = table.withColumn("row_", F.monotonically_increasing_id()).alias(alias)
+    return numbered.join(source.alias(source_alias), on).groupBy(F.col(f"{alias}.row_"), row.alias("row")).count().where("count > 1")
+
+
 def key_violations(table: DataFrame, key: Sequence[str], primary: bool = True) -> DataFrame:
     """``key..., n``: keys that occur more than once; for a primary key also keys with a null, for UNIQUE these are allowed."""
     n = table.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
@@ -124,7 +178,7 @@ def restricted(parent: DataFrame, key: str, child: DataFrame, column: str) -> Da
     return parent.join(used, F.col(key) == F.col("used_"), "left_semi")
 
 
-def check_violations(table: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
-    """Rows that break a rule, with the names of the broken rules in ``broken``. A rule that is null is kept, as in SQL."""
+def check_violations(table: DataFrame, rules: Mapping[str, Column], name: str = "broken") -> DataFrame:
+    """Rows that break a rule, with the names of the broken rules in column ``name``. A rule that is null is kept, as in SQL."""
     broken = F.array_compact(F.array(*(F.when(~F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items())))
-    return table.withColumn("broken", broken).where(F.size("broken") > 0)
+    return table.withColumn(name, broken).where(F.size(name) > 0)

@@ -106,68 +106,154 @@ def _(t):
 
 def _edges(t):
     s, p = F.concat(F.lit("s"), col("l_suppkey")), F.concat(F.lit("p"), col("l_partkey"))
-    return t.lineitem.where("l_quantity > 40").groupBy(s.alias("src"), p.alias("dst")).agg(F.min("l_discount").alias("weight"), F.lit("sells").alias("label"))
+    return t.lineitem.groupBy(s.alias("src"), p.alias("dst")).agg(F.min("l_discount").alias("weight"), F.lit("sells").alias("label"))
 
 
-_E = "(SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, min(l_discount) AS weight FROM lineitem WHERE l_quantity > 40 GROUP BY 1, 2)"
+_E = "(SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, min(l_discount) AS weight FROM lineitem GROUP BY 1, 2)"
 
 
 def _ring(t):
     """A sparse directed graph with long ways: number n leads to 2n + 1 and to n + 7."""
     n = t.customer.select(col("c_custkey").alias("n"), col("c_nationkey").alias("k"))
-    return n.select(col("n").alias("src"), F.explode(F.array(F.struct((col("n") * 2 + 1).alias("dst"), (col("k") % 7 + 1).cast("double").alias("weight")), F.struct((col("n") + 7).alias("dst"), F.lit(2.0).alias("weight")))).alias("e")).select("src", "e.dst", "e.weight")
+    far = F.struct((col("n") * 2 + 1).alias("dst"), (col("k") % 7 + 1).cast("double").alias("weight"))
+    near = F.struct((col("n") + 7).alias("dst"), F.lit(2.0).alias("weight"))
+    return n.select(col("n").alias("src"), F.explode(F.array(far, near)).alias("e")).select("src", "e.dst", "e.weight")
 
 
 _R = "(SELECT c_custkey AS src, unnest([c_custkey * 2 + 1, c_custkey + 7]) AS dst, unnest([c_nationkey % 7 + 1.0, 2.0]) AS weight FROM customer)"
 
 
+def _places(t):
+    """Regions, nations and suppliers as vertices with properties, and edges down from region to supplier."""
+    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    row = lambda df, ident, label, props: df.select(ident.alias("id"), F.lit(label).alias("label"), F.to_json(F.struct(*props)).alias("props"))
+    vertices = (
+        row(t.region, name("r", "r_regionkey"), "Region", [col("r_name").alias("name")])
+        .unionByName(row(t.nation, name("n", "n_nationkey"), "Nation", [col("n_name").alias("name"), col("n_nationkey").alias("number")]))
+        .unionByName(row(t.supplier, name("s", "s_suppkey"), "Supplier", [col("s_name").alias("name"), col("s_acctbal").alias("balance")]))
+    )
+    edge = lambda df, a, b, label, since: df.select(a.alias("src"), b.alias("dst"), F.lit(label).alias("label"), F.to_json(F.struct(since.alias("since"))).alias("props"))
+    edges = edge(t.nation, name("r", "n_regionkey"), name("n", "n_nationkey"), "HAS", col("n_nationkey") + 1990).unionByName(
+        edge(t.supplier, name("n", "s_nationkey"), name("s", "s_suppkey"), "HOSTS", col("s_suppkey") % 30 + 1990)
+    )
+    return vertices, edges
+
+
 @add("graph_find_edges", f"SELECT dst FROM {_E} WHERE src = 's7'")
 def _(t):
     return G.edge_filter(_edges(t), "sells", {"src": "s7"}).select("dst")
 
 
+@add("graph_find_vertices", "SELECT 's' || s_suppkey AS id FROM supplier WHERE s_acctbal >= 1000 AND s_acctbal <= 5000")
+def _(t):
+    return G.find_vertices(_places(t)[0], "Supplier", {"balance": {"$gte": 1000, "$lte": 5000}}).select("id")
+
+
+@add("graph_find_edges_by_props", "SELECT 'n' || s_nationkey AS src, 's' || s_suppkey AS dst FROM supplier WHERE s_suppkey % 30 + 1990 > 2010 AND s_nationkey <> 3")
+def _(t):
+    return G.find_edges(_places(t)[1], "HOSTS", {"since": {"$gt": 2010}, "src": {"$ne": "n3"}}).select("src", "dst")
+
+
+@add(
+    "graph_pattern",
+    """SELECT 'r' || n_regionkey AS v0, 'n' || n_nationkey AS v1, 's' || s_suppkey AS v2, n_name AS nation, s_name AS supplier FROM nation JOIN supplier ON s_nationkey = n_nationkey
+    WHERE n_nationkey >= 5 AND s_acctbal < 0 AND s_suppkey % 30 + 1990 <= 2015""",
+)
+def _(t):
+    v, e = _places(t)
+    return G.match(
+        v, e, ["HAS", "HOSTS"], ["Region", "Nation", "Supplier"], {1: {"number": {"$gte": 5}}, 2: {"balance": {"$lt": 0}}},
+        {1: {"since": {"$lte": 2015}}}, {"nation": (1, "name"), "supplier": (2, "name")},
+    )
+
+
+@add(
+    "graph_join_relational",
+    """SELECT n_name, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM nation JOIN customer ON c_nationkey = n_nationkey
+    WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000) GROUP BY 1""",
+)
+def _(t):
+    v, e = _places(t)
+    found = G.match(v, e, ["HOSTS"], ["Nation", "Supplier"], {1: {"balance": {"$gt": 9000}}}, returns={"number": (0, "number")})
+    nations = found.select(col("number").cast("int").alias("nation_id")).distinct()
+    joined = t.customer.join(nations, col("c_nationkey") == col("nation_id")).join(t.nation, col("c_nationkey") == col("n_nationkey"))
+    return joined.groupBy("n_name").agg(n_rows().alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
 @add("graph_degree", f"SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM {_E} UNION ALL SELECT dst, 0, 1 FROM {_E}) GROUP BY 1")
 def _(t):
     return G.degrees(_edges(t)).select("id", col("out_degree").cast("long"), col("in_degree").cast("long"))
 
 
-@add("graph_two_hop", f"SELECT DISTINCT a.dst AS v1, b.dst AS v2 FROM {_R} a JOIN {_R} b ON b.src = a.dst WHERE a.src = 3 AND a.dst <= 1500 AND b.dst <= 1500")
+@add("graph_two_hop", f"SELECT DISTINCT a.dst AS v1, b.dst AS v2 FROM {_R} a JOIN {_R} b ON b.src = a.dst WHERE a.src = 3")
 def _(t):
-    e = _ring(t).where("dst <= 1500").withColumn("label", F.lit("next"))
+    e = _ring(t).withColumn("label", F.lit("next"))
     return G.match(t.nation, e, ["next", "next"]).where("v0 = 3").select("v1", "v2").distinct()
 
 
-_BFS = f"""WITH RECURSIVE e AS (SELECT src, dst FROM {_R} WHERE dst <= 1500), r(id, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = id WHERE depth < 6)"""
+_BFS = f"""WITH RECURSIVE e AS (SELECT src, dst FROM {_R}), r(id, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT dst, depth + 1 FROM r JOIN e ON src = id WHERE depth < 6)"""
 
 
 @add("graph_bfs", _BFS + " SELECT id, min(depth) AS depth FROM r GROUP BY 1")
 def _(t):
-    return G.bfs(G.arcs(_ring(t).where("dst <= 1500")), t.spark.createDataFrame([(1,)], "id long"), 6)
+    return G.bfs(G.arcs(_ring(t)), t.spark.createDataFrame([(1,)], "id long"), 6)
 
 
-_SP = f"""WITH RECURSIVE e AS (SELECT src, dst, min(weight) AS w FROM {_R} WHERE dst <= 300 GROUP BY 1, 2),
-    r(id, d, path) AS (SELECT CAST(1 AS BIGINT), 0.0::DOUBLE, [CAST(1 AS BIGINT)] UNION SELECT dst, d + w, [dst] FROM r JOIN e ON src = id WHERE d < 2000)
-    SELECT id, min(d) AS distance FROM r GROUP BY 1"""
+@add(
+    "graph_dfs",
+    """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier),
+    r(id, path) AS (SELECT 'r1', ['r1'] UNION ALL SELECT dst, list_append(path, dst) FROM r JOIN e ON src = id)
+    SELECT CAST(row_number() OVER (ORDER BY path) - 1 AS INT) AS place, id FROM r""",
+)
+def _(t):
+    order = G.dfs_order(_places(t)[1], "r1")
+    return t.spark.createDataFrame(list(enumerate(order)), "place int, id string")
+
+
+# Distances only fall, so a table with one row a vertex is lowered until nothing changes.
+_SP = f"""WITH RECURSIVE e AS (SELECT src, dst, CAST(min(weight) AS DOUBLE) AS w FROM {_R} GROUP BY 1, 2),
+    r(id, distance) USING KEY (id) AS (SELECT CAST(1 AS BIGINT), 0.0::DOUBLE UNION
+      SELECT e.dst, min(r.distance + e.w) FROM r JOIN e ON e.src = r.id LEFT JOIN recurring.r x ON x.id = e.dst WHERE x.id IS NULL OR r.distance + e.w < x.distance GROUP BY e.dst)
+    SELECT id, distance FROM r"""
 
 
 @add("graph_shortest_path", _SP)
 def _(t):
-    return G.shortest_paths(G.arcs(_ring(t).where("dst <= 300"), "weight"), t.spark.createDataFrame([(1,)], "id long"))
+    return G.shortest_paths(G.arcs(_ring(t), "weight"), t.spark.createDataFrame([(1,)], "id long"))
 
 
-@add("graph_undirected", f"SELECT n, count(*) AS k FROM (SELECT src AS n FROM {_R} WHERE dst <= 1500 UNION ALL SELECT dst FROM {_R} WHERE dst <= 1500) GROUP BY 1")
+@add("graph_undirected", f"SELECT n, count(*) AS k FROM (SELECT src AS n FROM {_R} UNION ALL SELECT dst FROM {_R}) GROUP BY 1")
 def _(t):
-    return G.arcs(_ring(t).where("dst <= 1500").withColumn("directed", F.lit(False))).groupBy(col("src").alias("n")).agg(n_rows().alias("k"))
+    return G.arcs(_ring(t).withColumn("directed", F.lit(False))).groupBy(col("src").alias("n")).agg(n_rows().alias("k"))
 
 
-@add("graph_simple_paths")
+@add(
+    "graph_simple_paths",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_R}), r(at_, path) AS (SELECT CAST(1 AS BIGINT), [CAST(1 AS BIGINT)] UNION ALL
+      SELECT dst, list_append(path, dst) FROM r JOIN e ON src = at_ WHERE at_ <> 31 AND len(path) <= 4 AND NOT list_contains(path, dst))
+    SELECT path, CAST(len(path) - 1 AS INT) AS hops FROM r WHERE at_ = 31""",
+)
 def _(t):
     return G.simple_paths(_ring(t), 1, 31, 4)
 
 
-@add("graph_pagerank")
+_RANKS = 10
+
+
+def _pagerank_sql() -> str:
+    e = f"e AS MATERIALIZED (SELECT src, dst FROM {_E}), o AS MATERIALIZED (SELECT src, count(*) AS n FROM e GROUP BY 1)"
+    ids = "v AS MATERIALIZED (SELECT src AS id FROM e UNION SELECT dst FROM e), c AS MATERIALIZED (SELECT CAST(count(*) AS DOUBLE) AS n FROM v)"
+    parts = [e, ids, "r0 AS (SELECT id, 1 / c.n AS rank FROM v, c)"]
+    for i in range(_RANKS):
+        loose = f"(SELECT coalesce(sum(rank), 0) FROM r{i} WHERE id NOT IN (SELECT src FROM o))"
+        got = f"(SELECT e.dst, sum(r.rank / o.n) AS got FROM r{i} r JOIN e ON e.src = r.id JOIN o ON o.src = r.id GROUP BY 1)"
+        parts.append(f"r{i + 1} AS MATERIALIZED (SELECT v.id, (0.15 + 0.85 * {loose}) / c.n + 0.85 * coalesce(g.got, 0) AS rank FROM v CROSS JOIN c LEFT JOIN {got} g ON g.dst = v.id)")
+    return f"WITH {', '.join(parts)} SELECT id, round(rank, 9) AS rank FROM r{_RANKS}"
+
+
+@add("graph_pagerank", _pagerank_sql())
 def _(t):
-    return G.pagerank(_edges(t), 10).withColumn("rank", F.round("rank", 12))
+    return G.pagerank(_edges(t), _RANKS).withColumn("rank", F.round("rank", 9))
 
 
 @add("graph_components", "SELECT o_orderkey + 1000000000 AS id, o_custkey AS component FROM orders UNION SELECT o_custkey, o_custkey FROM orders")
@@ -175,7 +261,13 @@ def _(t):
     return G.connected_components(t.orders.select((col("o_orderkey") + 1_000_000_000).alias("src"), col("o_custkey").alias("dst")))
 
 
-@add("graph_component_sizes")
+@add(
+    "graph_component_sizes",
+    f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src AS a, dst AS b FROM {_E} UNION ALL SELECT dst, src FROM {_E}),
+    r(id, component) USING KEY (id) AS (SELECT a, min(least(a, b)) FROM e GROUP BY 1 UNION
+      SELECT e.b, min(r.component) FROM r JOIN e ON e.a = r.id JOIN recurring.r x ON x.id = e.b WHERE r.component < x.component GROUP BY 1)
+    SELECT component, count(*) AS n FROM r GROUP BY 1""",
+)
 def _(t):
     return G.connected_components(_edges(t)).groupBy("component").agg(n_rows().alias("n"))
 
@@ -185,9 +277,28 @@ def _(t):
     return G.label_propagation(_ring(t))
 
 
-@add("graph_closeness")
+@add("graph_modularity")
+def _(t):
+    e = _ring(t)
+    found = G.modularity_communities(e)
+    return found.groupBy("community").agg(n_rows().alias("n")).withColumn("modularity", F.lit(round(G.modularity(e, found), 6)))
+
+
+@add(
+    "graph_closeness",
+    f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {_R}), r(source, id, depth) AS (SELECT s, s, 0 FROM (VALUES (CAST(1 AS BIGINT)), (2), (5)) v(s) UNION
+      SELECT source, dst, depth + 1 FROM r JOIN e ON src = id WHERE depth < 5),
+    d AS (SELECT source, id, min(depth) AS depth FROM r GROUP BY 1, 2)
+    SELECT source AS id, count(*) - 1 AS reached, round(CASE WHEN sum(depth) > 0 THEN (count(*) - 1) / sum(depth) ELSE 0.0 END, 12) AS closeness FROM d GROUP BY 1""",
+)
+def _(t):
+    return G.closeness(_ring(t), t.spark.createDataFrame([(1,), (2,), (5,)], "id long"), 5).withColumn("closeness", F.round("closeness", 12))
+
+
+@add("graph_betweenness", "SELECT 'n' || s_nationkey AS id, CAST(count(*) AS DOUBLE) AS score FROM supplier GROUP BY 1")
 def _(t):
-    return G.closeness(_ring(t), t.spark.createDataFrame([(1,), (2,), (5,)], "id long"), 5)
+    v, e = _places(t)
+    return G.betweenness(e, v.where("label = 'Region'").select("id"), 3).where("score > 0")
 
 
 # Key-value logs: users are keys, events set or delete their value.

@@ -173,7 +173,7 @@ def _(t):
 
 _TREE = """WITH RECURSIVE tree(id, boss, depth) AS (
     SELECT p_partkey, CAST(NULL AS BIGINT), 0 FROM {part} WHERE p_partkey = 1
-    UNION ALL SELECT p_partkey, p_partkey div 3, depth + 1 FROM {part} JOIN tree ON p_partkey div 3 = id WHERE p_partkey > 1 AND p_partkey <= 1000)
+    UNION ALL SELECT p_partkey, p_partkey div 3, depth + 1 FROM {part} JOIN tree ON p_partkey div 3 = id WHERE p_partkey > 1)
     SELECT depth, count(*) AS n, sum(id) AS s FROM tree GROUP BY depth"""
 
 
@@ -519,9 +519,9 @@ def _(t):
 # Sorting and limits
 
 
-@add("order_multi", "SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand DESC, p_size, p_partkey LIMIT 200")
+@add("order_multi", "SELECT p_partkey, p_brand, p_size FROM part ORDER BY p_brand DESC, p_size, p_partkey")
 def _(t):
-    return t.part.select("p_partkey", "p_brand", "p_size").orderBy(col("p_brand").desc(), "p_size", "p_partkey").limit(200)
+    return t.part.select("p_partkey", "p_brand", "p_size").orderBy(col("p_brand").desc(), "p_size", "p_partkey")
 
 
 @add("limit_offset", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 100")
@@ -534,17 +534,17 @@ def _(t):
     return t.customer.select("c_custkey", "c_acctbal").orderBy(col("c_acctbal").desc(), "c_custkey").limit(10)
 
 
-@add("order_nulls", "SELECT id, salary FROM employees ORDER BY salary ASC NULLS FIRST, id, loaded_at LIMIT 500")
+@add("order_nulls", "SELECT id, salary FROM employees ORDER BY salary ASC NULLS FIRST, id, loaded_at")
 def _(t):
-    return t.employees.orderBy(col("salary").asc_nulls_first(), "id", "loaded_at").select("id", "salary").limit(500)
+    return t.employees.orderBy(col("salary").asc_nulls_first(), "id", "loaded_at").select("id", "salary")
 
 
-@add("order_natural", """SELECT name FROM (SELECT DISTINCT trim(name) AS name FROM departments WHERE id < 60) ORDER BY name IS NOT NULL, TRY_CAST(name AS DOUBLE) IS NULL, TRY_CAST(name AS DOUBLE), lower(name) LIMIT 30""")
+@add("order_natural", """SELECT name FROM (SELECT DISTINCT trim(name) AS name FROM departments) ORDER BY name IS NOT NULL, TRY_CAST(name AS DOUBLE) IS NULL, TRY_CAST(name AS DOUBLE), lower(name)""")
 def _(t):
     from strataweave.functions.text import natural_order
 
-    names = t.departments.where("id < 60").select(F.trim("name").alias("name")).distinct()
-    return names.orderBy(*natural_order(col("name"))).limit(30)
+    names = t.departments.select(F.trim("name").alias("name")).distinct()
+    return names.orderBy(*natural_order(col("name")))
 
 
 @add("sort_positions", "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n_name) - 1 AS INT) AS place FROM nation")

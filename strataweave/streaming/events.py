@@ -95,6 +95,13 @@ def keep_latest(stream: DataFrame, path: str, key: str, order: list[str], checkp
     return on_each_batch(stream, merge, checkpoint)
 
 
+def latest_state(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What :func:`keep_latest` has last written under ``path``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return spark.read.schema(schema).parquet(f"{path}/{max(int(f.getPath().getName()) for f in found)}")
+
+
 def run_to_table(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return its result as a table in the shared folder.
 

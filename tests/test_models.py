@@ -180,3 +180,61 @@ def test_graph_queries_see_all_customers(spark, tmp_path):
     spark.createDataFrame([(i, i % 25) for i in ids], "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
     want = {v for i in ids for v in (i, 2 * i + 1, i + 7)}
     assert {r[0] for r in QUERIES["graph_communities"](spark, str(tmp_path)).select("id").collect()} == want
+
+
+def cliques(spark):
+    """Three groups of five, all joined within, and one edge from group to group."""
+    inside = [(10 * g + i, 10 * g + j) for g in range(3) for i in range(5) for j in range(i)]
+    return spark.createDataFrame([*inside, (0, 10), (10, 20), (20, 0), (None, 4)], "src long, dst long")
+
+
+def test_communities_of_high_modularity(spark):
+    e = cliques(spark)
+    got = G.modularity_communities(e)
+    assert dict(rows(got)) == {10 * g + i: 10 * g for g in range(3) for i in range(5)}
+    # 33 edges, 30 of them within; each group holds a third of the ends.
+    assert abs(G.modularity(e, got) - (30 / 33 - 1 / 3)) < 1e-9
+    assert rows(G.modularity_communities(e.limit(0))) == []
+
+
+def test_label_propagation(spark):
+    """By hand: after one round each vertex has the smallest label among the most frequent of its neighbours."""
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
+    assert dict(rows(G.label_propagation(e, 1))) == {1: 2, 2: 1, 3: 1, 4: 3}
+    assert dict(rows(G.label_propagation(cliques(spark).where("src is not null"), 6)))[24] in range(20, 25)
+
+
+PLACES = [("a", "P", {"age": 30, "name": "Ann"}), ("b", "P", {"age": 17}), ("c", "P", {"age": 45, "name": "Cy"}), ("d", "C", {"name": "Acme"})]
+WAYS = [("a", "b", "KNOWS", {"since": 2001}), ("a", "c", "KNOWS", {"since": 2010}), ("c", "d", "WORKS", {}), ("b", "d", "WORKS", {})]
+
+
+def small_graph(spark):
+    v = spark.createDataFrame([(i, lab, json.dumps(p)) for i, lab, p in PLACES], "id string, label string, props string")
+    e = spark.createDataFrame([(a, b, lab, json.dumps(p)) for a, b, lab, p in WAYS], "src string, dst string, label string, props string")
+    return v, e
+
+
+def test_find_and_match_by_properties(spark):
+    v, e = small_graph(spark)
+    assert [r[0] for r in rows(G.find_vertices(v, "P", {"age": {"$gte": 30, "$lte": 40}}).select("id"))] == ["a"]
+    assert [r[0] for r in rows(G.find_vertices(v, None, {"name": {"$exists": True}}).select("id"))] == ["a", "c", "d"]
+    assert G.find_vertices(v).count() == 4 and G.find_edges(e, "KNOWS", None, "a", "b").count() == 1
+    assert [tuple(r) for r in G.find_edges(e, where={"since": {"$gt": 2005}}).select("src", "dst").collect()] == [("a", "c")]
+    got = G.match(v, e, ["KNOWS", "WORKS"], ["P", None, "C"], {1: {"age": {"$gte": 18}}}, returns={"who": (0, "name"), "firm": (2, "name")})
+    assert rows(got) == [("a", "c", "d", "Ann", "Acme")]
+    assert rows(G.match(v, e, [None], edge_where={0: {"since": 2001}})) == [("a", "b")]
+
+
+def test_paths_within_hops(spark):
+    e = edges(spark, [("a", "b", 1.0), ("b", "c", 1.0), ("c", "d", 1.0), ("a", "d", 9.0), ("a", "c", 4.0)])
+    assert G.path_within(e, "a", "d", 1) == ["a", "d"] and G.path_within(e, "a", "d", 2) == ["a", "c", "d"]
+    assert G.path_within(e, "a", "d", 3) == G.path_within(e, "a", "d", 9) == ["a", "b", "c", "d"]
+    assert G.path_within(e, "d", "a", 5) == [] and G.path_within(e, "a", "a", 3) == ["a"]
+
+
+def test_long_chains_are_walked_to_the_end(spark):
+    n = 30
+    e = edges(spark, [(f"{i:03}", f"{i + 1:03}", 1.0) for i in range(n)] + [("000", "025", 100.0)])
+    start = spark.createDataFrame([("000",)], "id string")
+    assert dict(rows(G.shortest_paths(e, start))) == {f"{i:03}": float(i) for i in range(n + 1)}
+    assert dict(rows(G.bfs(e, start)))["030"] == 6 and len(G.dfs_order(e, "000")) == n + 1
