@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataweave.functions.numeric import gcd_agg
 
@@ -32,6 +36,80 @@ def aggregate(df: DataFrame, specs: Sequence[tuple[str, str, str]], by: Sequence
     return out if limit is None else out.limit(limit)
 
 
+def gcd_by(df: DataFrame, by: Sequence[str], column: str, name: str = "gcd") -> DataFrame:
+    """``by..., name``: GCD of the integers of each group, nulls left out; null for a group without any, one row without ``by``.
+
+    Every split reduces its values first, in Arrow batches, so a group costs one number
+    a split however many values it has. Values are 64-bit; the result is not negative.
+    """
+    keys = [F.col(f"`{c}`") for c in by]
+    rows = df.select(F.to_json(F.struct(*keys, F.lit(0).alias("one_")), {"ignoreNullFields": "false"}).alias("gid_"), *keys, F.col(f"`{column}`").cast("long").alias("v_"))
+    partial = T.StructType([*rows.schema.fields[:-1], T.StructField("v_", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            code = b["gid_"].dictionary_encode().indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(code[order]) > 0])
+            v = np.abs(pc.fill_null(b["v_"], 0).to_numpy())[order]
+            some = np.logical_or.reduceat(pc.is_valid(b["v_"]).to_numpy(zero_copy_only=False)[order], starts)
+            first = b.take(pa.array(order[starts]))
+            yield pa.RecordBatch.from_arrays([*first.columns[:-1], pa.array(np.gcd.reduceat(v, starts), pa.int64(), mask=~some)], first.schema.names)
+
+    return rows.mapInArrow(run, partial).groupBy(*by).agg(gcd_agg("v_").alias(name))
+
+
+def with_positions(df: DataFrame, order: Sequence[str], name: str = "place", descending: bool = False) -> DataFrame:
+    """Rows with their position (from 0) in the order of some columns, nulls first; ties by the whole row.
+
+    Positions are prefix sums over range partitions; rows that tie are spread out.
+    """
+    from strataweave.sources.storage import materialize
+
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns))
+    keyed = df.select(row.alias("row"), F.struct(*(F.col(f"`{c}`") for c in order)).alias("v"), F.xxhash64(F.to_json(row)).alias("salt"))
+    ordered = materialize(keyed.repartitionByRange("v", "salt").withColumn("pid", F.spark_partition_id()), "ordered")
+    sizes = ordered.groupBy("pid").agg(F.count(F.lit(1)).alias("here"))  # one row a partition
+    offsets = sizes.withColumn("offset", F.sum("here").over(Window.partitionBy(F.lit(0)).orderBy("pid")) - F.col("here"))
+    place = F.col("offset") + F.row_number().over(Window.partitionBy("pid").orderBy("v", "salt")) - 1
+    if descending:
+        offsets = offsets.withColumn("total", F.sum("here").over(Window.partitionBy(F.lit(0))))
+        place = F.col("total") - 1 - place
+    return ordered.join(F.broadcast(offsets), "pid").withColumn("place", place).select("row.*", F.col("place").cast("long").alias(name))
+
+
+def random_values(spark: SparkSession, n: int, low: float = 0.0, high: float = 1.0, seed: int | None = None) -> DataFrame:
+    """``n`` uniform numbers from ``low`` up to ``high``: ``value``."""
+    return spark.range(n).select((F.lit(float(low)) + F.rand(seed) * (float(high) - float(low))).alias("value"))
+
+
+def random_rows(df: DataFrame, n: int, seed: int | None = None) -> DataFrame:
+    """``n`` rows chosen at random, or all if there are fewer."""
+    return df.orderBy(F.rand(seed)).limit(n)
+
+
+def filter_estimate(df: DataFrame, column: str, op: str, value: object, distinct: str = "approximate") -> DataFrame:
+    """``n_rows, selectivity, estimate`` of a comparison, from bounds and distinct values alone.
+
+    Equality is one over the distinct values, its negation the rest, and a range the
+    part of the way from the lowest to the highest value; outside of these 0 or 1.
+    Nulls pass no comparison. An empty column has selectivity 0.
+    """
+    x, v = F.col(f"`{column}`"), F.lit(value)
+    d = F.approx_count_distinct(x) if distinct == "approximate" else F.countDistinct(x)
+    s = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count(x).alias("full"), d.alias("d"), F.min(x).cast("double").alias("a"), F.max(x).cast("double").alias("b"))
+    inside = (v >= F.col("a")) & (v <= F.col("b"))
+    below = F.when(v <= F.col("a"), 0.0).when(v >= F.col("b"), 1.0).otherwise((v.cast("double") - F.col("a")) / (F.col("b") - F.col("a")))
+    equal = F.when(inside, 1 / F.col("d")).otherwise(0.0)
+    parts = {"=": equal, "<>": 1 - equal, "!=": 1 - equal, "<": below, "<=": below, ">": 1 - below, ">=": 1 - below}
+    if op not in parts:
+        raise ValueError(f"unknown operator {op}")
+    part = F.when(F.col("full") > 0, parts[op] * F.col("full") / F.col("n_rows")).otherwise(0.0)
+    return s.select("n_rows", part.alias("selectivity"), (part * F.col("n_rows")).alias("estimate"))
+
+
 def column_stats(df: DataFrame, columns: Sequence[str], distinct: str = "exact") -> DataFrame:
     """``column_name, n_rows, n_null, n_distinct, min_value, max_value, avg_length``, values as text.
 

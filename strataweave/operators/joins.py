@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataweave.sources.storage import materialize
+
 #: Names of join algorithms and the hints that ask Spark for them.
 ALGORITHMS = {"HASH": "shuffle_hash", "MERGE": "merge", "NESTED_LOOP": "shuffle_replicate_nl", "INDEX": "broadcast", "BROADCAST": "broadcast", "AUTO": None}
 
@@ -61,10 +63,29 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: s
 
 
 def range_lookup(points: DataFrame, key: str, starts: DataFrame, start: str, values: Sequence[str]) -> DataFrame:
-    """To each point the range with the greatest start at or before it; one as-of join over a single key space."""
-    one = F.lit(0).alias("all_")
-    out = asof_join(points.select("*", one), starts.select("*", one), ["all_"], key, start, values)
-    return out.drop("all_")
+    """To each point, ``values`` of the range with the greatest start at or before it; null before the first start or for a null key.
+
+    Points and starts are range-partitioned together, so neither side is collected
+    and many points at one place are spread out. The last start of each partition is carried on
+    to the next ones by a table of one row a partition. Of equal starts, the highest values win.
+    ``values`` must be new names.
+    """
+    hit_type = starts.select(F.struct(*values)).schema[0].dataType
+    row = F.struct(*(F.col(f"`{c}`") for c in points.columns))
+    a = points.select(F.col(key).alias("at_"), F.lit(1).alias("side_"), F.xxhash64(F.to_json(row), F.lit(1)).alias("salt_"), row.alias("row_"), F.lit(None).cast(hit_type).alias("hit_"))
+    b = starts.where(F.col(start).isNotNull()).select(
+        F.col(start).alias("at_"), F.lit(0).alias("side_"), F.lit(0).cast("long").alias("salt_"), F.lit(None).cast(a.schema["row_"].dataType).alias("row_"), F.struct(*values).alias("hit_")
+    )
+    # Written once, so that both passes see the same partitions.
+    placed = materialize(a.unionByName(b).repartitionByRange("at_", "side_", "salt_").withColumn("pid_", F.spark_partition_id()), "ranges")
+    last = placed.where("side_ = 0").groupBy("pid_").agg(F.max_by("hit_", F.struct("at_", "hit_")).alias("last_"))
+    pids = placed.select("pid_").distinct().join(last, "pid_", "left")  # one row a partition
+    earlier = Window.partitionBy(F.lit(0)).orderBy("pid_").rowsBetween(Window.unboundedPreceding, -1)
+    carried = pids.select("pid_", F.last("last_", ignorenulls=True).over(earlier).alias("carried_"))
+    here = Window.partitionBy("pid_").orderBy("at_", "side_", "hit_").rowsBetween(Window.unboundedPreceding, 0)
+    seen = placed.withColumn("seen_", F.last("hit_", ignorenulls=True).over(here)).where("side_ = 1").join(F.broadcast(carried), "pid_")
+    found = F.when(F.col("at_").isNotNull(), F.coalesce("seen_", "carried_"))
+    return seen.withColumn("found_", found).select("row_.*", *(F.col(f"found_.{v}").alias(v) for v in values))
 
 
 def interval_join(points: DataFrame, key: str, ranges: DataFrame, low: str, high: str, width: float) -> DataFrame:

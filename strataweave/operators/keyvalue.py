@@ -69,9 +69,33 @@ def compare_clocks(a: Column, b: Column) -> Column:
     return F.when(ahead & ~behind, 1).when(behind & ~ahead, -1).otherwise(0)
 
 
-def quorum_read(replicas: DataFrame, key: str, value: str, version: str, quorum: int) -> DataFrame:
-    """The newest value of each key that at least ``quorum`` replicas answered for."""
-    seen = replicas.groupBy(key).agg(F.max_by(value, version).alias(value), F.max(version).alias(version), F.count(F.lit(1)).alias("n_"))
+def set_if(entries: DataFrame, writes: DataFrame, key: str, mode: str = "") -> DataFrame:
+    """Entries after writes of whole rows: all of them, only new keys (``NX``) or only keys that are there (``XX``).
+
+    ``writes`` has one row a key. Null keys are never there.
+    """
+    if mode.upper() not in ("", "NX", "XX"):
+        raise ValueError(f"unknown mode {mode}")
+    there = entries.select(F.col(key).alias("there_")).distinct()
+    if mode:
+        writes = writes.join(there, F.col(key) == F.col("there_"), "left_anti" if mode.upper() == "NX" else "left_semi")
+    kept = entries.join(writes.select(F.col(key).alias("new_")), F.col(key) == F.col("new_"), "left_anti")
+    return kept.unionByName(writes.select(*entries.columns))
+
+
+def cleanup_before(log: DataFrame, deleted: Column, time: str, before: Column) -> DataFrame:
+    """The log without deletions older than ``before``; those with a null time stay."""
+    return log.where(~F.coalesce(deleted & (F.col(time) < before), F.lit(False)))
+
+
+def quorum_read(answers: DataFrame, key: str, replica: str, value: str, version: str, quorum: int) -> DataFrame:
+    """The newest value of each key for which at least ``quorum`` different replicas answered.
+
+    A replica that answers several times counts once; answers of a null replica count for none.
+    """
+    newest = F.max_by(F.col(value), F.col(version))
+    per_replica = answers.where(F.col(replica).isNotNull()).groupBy(key, replica).agg(newest.alias(value), F.max(version).alias(version))
+    seen = per_replica.groupBy(key).agg(newest.alias(value), F.max(version).alias(version), F.count(F.lit(1)).alias("n_"))
     return seen.where(F.col("n_") >= quorum).drop("n_")
 
 

@@ -363,7 +363,29 @@ def _(t):
 @add("quorum_read", f"SELECT k AS key, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM {_L} GROUP BY 1 HAVING count(*) >= 100")
 def _(t):
     log = t.events.select(F.get_json_object("props", "$.k").cast("int").alias("key"), "value", "event_id")
-    return K.quorum_read(log, "key", "value", "event_id", 100)
+    return K.quorum_read(log.withColumn("answer", col("event_id")), "key", "answer", "value", "event_id", 100)
+
+
+@add("quorum_by_node", f"SELECT key, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM {_L} WHERE k < 30 GROUP BY 1 HAVING count(DISTINCT node) >= 6")
+def _(t):
+    log = _log(t).where("k < 30").select("key", (col("event_id") % 7).alias("node"), "value", "event_id")
+    return K.quorum_read(log, "key", "node", "value", "event_id", 6)
+
+
+for _mode, _keep in (("nx", "NOT IN"), ("xx", "IN")):
+    _old = f"(SELECT key, max(event_id) AS id FROM {_L} WHERE key % 3 = 0 GROUP BY 1)"
+
+    @add(f"kv_set_{_mode}", f"SELECT key, id FROM {_old} WHERE key % 2 > 0 OR '{_mode}' = 'nx' UNION ALL SELECT user_id, -1 FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 2 = 0) WHERE user_id {_keep} (SELECT key FROM {_old})")
+    def _(t, mode=_mode):
+        log = _log(t)
+        entries = log.where("key % 3 = 0").groupBy("key").agg(F.max("event_id").alias("id"))
+        writes = log.where("key % 2 = 0").select("key").distinct().withColumn("id", F.lit(-1).cast("long"))
+        return K.set_if(entries, writes, "key", mode)
+
+
+@add("kv_cleanup", f"SELECT event_id FROM {_L} WHERE NOT (gone AND ts < TIMESTAMP '2024-01-15')")
+def _(t):
+    return K.cleanup_before(_log(t), col("gone"), "ts", F.expr("timestamp_ntz'2024-01-15'")).select("event_id")
 
 
 @add("codec_rle", f"""SELECT key, kind, count(*) AS n, min(ts) AS first_ FROM (SELECT *, sum(new) OVER (PARTITION BY key ORDER BY ts, event_id) AS run FROM (

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strataweave.functions.numeric import gcd_agg
 from strataweave.functions.predicates import condition
 from strataweave.operators import aggregates as A
 from strataweave.operators import joins as J
@@ -282,6 +281,14 @@ def _(t):
     return J.range_lookup(t.part.select("p_partkey"), "p_partkey", t.supplier.select((col("s_suppkey") * 37).alias("start_at")), "start_at", ["start_at"])
 
 
+@add("range_lookup_ties", "SELECT l_orderkey, l_linenumber, start_at, s_name FROM lineitem ASOF LEFT JOIN (SELECT s_suppkey % 13 AS start_at, max(s_name) AS s_name FROM supplier GROUP BY 1) ON CAST(l_quantity AS BIGINT) >= start_at + 5")
+def _(t):
+    """Few places with many rows each."""
+    starts = t.supplier.select((col("s_suppkey") % 13 + 5).alias("at_5"), (col("s_suppkey") % 13).alias("start_at"), "s_name")
+    points = t.lineitem.select("l_orderkey", "l_linenumber", col("l_quantity").cast("long").alias("q"))
+    return J.range_lookup(points, "q", starts, "at_5", ["start_at", "s_name"]).select("l_orderkey", "l_linenumber", "start_at", "s_name")
+
+
 @add("interval_join", "SELECT p_partkey, s_suppkey FROM part JOIN supplier ON p_retailprice >= s_suppkey * 20 AND p_retailprice < s_suppkey * 20 + 30")
 def _(t):
     ranges = t.supplier.select("s_suppkey", (col("s_suppkey") * 20.0).alias("low"), (col("s_suppkey") * 20.0 + 30).alias("high"))
@@ -307,7 +314,8 @@ def _(t):
 
 @add("agg_gcd", "SELECT stock_class, list_reduce(list(DISTINCT abs(stock)), lambda a, b: gcd(a, b)) AS g FROM (SELECT category AS stock_class, CAST(stock AS BIGINT) * 6 AS stock FROM products WHERE stock IS NOT NULL) GROUP BY 1")
 def _(t):
-    return t.products.where("stock is not null").groupBy(col("category").alias("stock_class")).agg(gcd_agg(col("stock").cast("long") * 6).alias("g"))
+    stock = t.products.where("stock is not null").select(col("category").alias("stock_class"), (col("stock").cast("long") * 6).alias("v"))
+    return A.gcd_by(stock, ["stock_class"], "v", "g")
 
 
 @add("agg_median_stddev", "SELECT c_mktsegment AS segment, round(median(c_acctbal), 4) AS mid, round(stddev_samp(c_acctbal), 4) AS dev FROM customer GROUP BY 1")
@@ -453,6 +461,25 @@ def _(t):
     return A.join_cardinality(t.orders, t.lineitem, ("o_orderkey", "l_orderkey"))
 
 
+@add(
+    "filter_estimate",
+    """SELECT 'equal' AS kind, count(*) AS n_rows, round(1.0 / count(DISTINCT p_size), 9) AS selectivity FROM part
+    UNION ALL SELECT 'above', count(*), round((max(p_retailprice) - 950) / (max(p_retailprice) - min(p_retailprice)), 9) FROM part""",
+)
+def _(t):
+    equal, above = A.filter_estimate(t.part, "p_size", "=", 7, "exact"), A.filter_estimate(t.part, "p_retailprice", ">", 950.0, "exact")
+    both = equal.withColumn("kind", F.lit("equal")).unionByName(above.withColumn("kind", F.lit("above")))
+    return both.select("kind", "n_rows", F.round("selectivity", 9).alias("selectivity"))
+
+
+@add("rand_range", "SELECT CAST(1000 AS BIGINT) AS n, true AS inside, true AS spread, least(count(*), 25) AS n_rows FROM customer")
+def _(t):
+    """RAND(n, low, high) and n random rows; what any draw must be like."""
+    v = A.random_values(t.spark, 1000, 1, 100, 11).agg(n_rows().alias("n"), ((F.min("value") >= 1) & (F.max("value") < 100)).alias("inside"), F.avg("value").between(40, 61).alias("spread"))
+    some = A.random_rows(t.customer.select("c_custkey"), 25, 3).agg(F.countDistinct("c_custkey").alias("n_rows"))
+    return v.join(F.broadcast(some))  # one row each
+
+
 @add(
     "trailing_summary",
     """SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS n_high, round(avg(value), 4) AS mean, min(value) AS low, max(value) AS high
@@ -547,11 +574,9 @@ def _(t):
     return names.orderBy(*natural_order(col("name")))
 
 
-@add("sort_positions", "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n_name) - 1 AS INT) AS place FROM nation")
+@add("sort_positions", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS place FROM customer")
 def _(t):
-    # Nations are a table of fixed size.
-    names = t.nation.agg(F.sort_array(F.collect_list(F.struct("n_name", "n_nationkey"))).alias("s"))
-    return names.select(F.posexplode("s").alias("place", "x")).select("x.n_nationkey", "place")
+    return A.with_positions(t.customer.select("c_custkey", "c_acctbal"), ["c_acctbal", "c_custkey"]).select("c_custkey", "place")
 
 
 # Set operations

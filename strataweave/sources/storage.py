@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_OPEN: list[list[DataFrame]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,7 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):  # executors on other machines
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="strataweave-")
     return _OWN[app]
@@ -30,7 +34,8 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Write ``df`` once into the shared folder and return the table read back.
 
-    The files are deleted when the JVM ends. Row order within a file is kept,
+    The files are deleted at the end of the enclosing :func:`intermediates`, by
+    :func:`discard`, or when the JVM ends. Row order within a file is kept,
     the split into partitions is not: write the partition number as a column
     where it matters.
     """
@@ -42,9 +47,24 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._strataweave_path = path
+    for made in _OPEN:
+        made.append(out)
     return out
 
 
+@contextmanager
+def intermediates() -> Iterator[None]:
+    """Tables written inside are deleted at the end: compute or save the results before."""
+    made: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield
+    finally:
+        _OPEN.remove(made)
+        for df in made:
+            discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a table from :func:`materialize` that nothing reads any more."""
     path = getattr(df, "_strataweave_path", None)
