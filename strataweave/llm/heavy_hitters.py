@@ -24,8 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Candidates of phase 3 that may be broadcast; more are joined by a shuffle.
-BROADCAST_CANDIDATES = 200_000
+from strataweave.sources.storage import discard, materialize
 
 
 def top_k(df: DataFrame, column: str, k: int) -> DataFrame:
@@ -41,24 +40,23 @@ def top_k(df: DataFrame, column: str, k: int) -> DataFrame:
     schema = T.StructType([*values.schema.fields, T.StructField("n", T.LongType()), T.StructField("node", T.IntegerType())])
 
     # Phase 1: local leaders give the first bound.
-    leaders = local.mapInArrow(_local_counts(k=k), schema)
-    bound = _kth(leaders.groupBy("value").agg(F.sum("n").alias("n")), k)
-    nodes = max(1, values.rdd.getNumPartitions())
-    share = max(1, -(-bound // nodes))
-
-    # Phase 2: everything at or above a node's share of the bound.
-    heavy = (
-        local.mapInArrow(_local_counts(least=share), schema)
-        .groupBy("value")
-        .agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("on"))
-        .withColumn("most", F.col("seen") + (F.lit(nodes) - F.col("on")) * F.lit(share - 1))
-    ).persist()
-    better = max(bound, _kth(heavy.select("value", F.col("seen").alias("n")), k))
-    candidates = heavy.where(F.col("most") >= better).select("value")
-
-    # Phase 3: exact counts of what is left.
-    if candidates.count() <= BROADCAST_CANDIDATES:
-        candidates = F.broadcast(candidates)
+    bound, nodes = _bound(local.mapInArrow(_local_counts(k=k), schema), k)
+
+    # Phase 2: everything at or above a node's share of the bound. What the nodes send is written, so all that is read
+    # off it fits together. Should the data come in more splits than before, the share is smaller.
+    while True:
+        share = max(1, -(-bound // nodes))
+        sent = materialize(local.mapInArrow(_local_counts(least=share), schema), "heavy")
+        found, now = _bound(sent, k)
+        if now <= nodes:
+            break
+        discard(sent)
+        nodes = now
+    seen = sent.where("n > 0").groupBy("value").agg(F.sum("n").alias("seen"), F.count(F.lit(1)).alias("on"))
+    most = F.col("seen") + (F.lit(nodes) - F.col("on")) * F.lit(share - 1)
+    candidates = seen.where(most >= max(bound, found)).select("value")
+
+    # Phase 3: exact counts of what is left. Spark knows the size of the written table and broadcasts it if it is small.
     return (
         values.join(candidates, "value", "left_semi")
         .groupBy("value")
@@ -68,15 +66,16 @@ def top_k(df: DataFrame, column: str, k: int) -> DataFrame:
     )
 
 
-def _kth(counts: DataFrame, k: int) -> int:
-    """The ``k``-th highest ``n``, or 1 if there are fewer."""
-    top = counts.select("n").orderBy(F.col("n").desc()).limit(k)
-    r = top.agg(F.count(F.lit(1)), F.min("n")).first()
-    return int(r[1]) if r[0] == k else 1
+def _bound(sent: DataFrame, k: int) -> tuple[int, int]:
+    """The ``k``-th highest sum of what the nodes sent, 1 if there are fewer, and the nodes: each that had any value sends one null."""
+    sums = sent.groupBy("value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    first = sums.orderBy(F.col("value").isNotNull(), F.col("n").desc()).limit(k + 1)
+    r = first.agg(F.count("value"), F.min(F.when(F.col("value").isNotNull(), F.col("n"))), F.max(F.when(F.col("value").isNull(), F.col("c")))).first()
+    return (int(r[1]) if r[0] == k else 1), int(r[2] or 1)
 
 
 def _local_counts(k: int = 0, least: int = 1):
-    """Sorted values of a split -> its ``k`` most frequent, or all with ``least`` rows: ``value, n, node``."""
+    """Sorted values of a split -> its ``k`` most frequent, or all with ``least`` rows: ``value, n, node``, and a row with null and 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -128,6 +127,8 @@ def _local_counts(k: int = 0, least: int = 1):
             yield from pick(v.take(pa.array(starts[:-1])), counts[:-1])
         if n:
             yield from pick(pa.array([value.as_py()], kind), np.array([n]))
+        if kind is not None:
+            yield rows(pa.nulls(1, kind), [0])
         if heap:
             yield rows(pa.array([v for _, _, v in heap], kind), [c for c, _, _ in heap])
 
