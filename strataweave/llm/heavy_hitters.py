@@ -26,9 +26,11 @@ from pyspark.sql import types as T
 
 from strataweave.sources.storage import discard, materialize
 
+#: Candidates of phase 3 that may be broadcast; more are joined by a shuffle.
+BROADCAST_CANDIDATES = 200_000
 
-def top_k(df: DataFrame, column: str, k: int) -> DataFrame:
-    """The ``k`` most frequent non-null values and their exact counts: ``value, n_rows``.
+def top_k(df: DataFrame, column: str, k: int, least: int = 1) -> DataFrame:
+    """The ``k`` most frequent non-null values with at least ``least`` rows and their exact counts: ``value, n_rows``.
 
     Of values with equal counts the smaller go first, so the result is the same
     on every run. Fewer than ``k`` distinct values return all of them. Repeated
@@ -41,6 +43,7 @@ def top_k(df: DataFrame, column: str, k: int) -> DataFrame:
 
     # Phase 1: local leaders give the first bound.
     bound, nodes = _bound(local.mapInArrow(_local_counts(k=k), schema), k)
+    bound = max(bound, least)
 
     # Phase 2: everything at or above a node's share of the bound. What the nodes send is written, so all that is read
     # off it fits together. Should the data come in more splits than before, the share is smaller.
@@ -56,11 +59,14 @@ def top_k(df: DataFrame, column: str, k: int) -> DataFrame:
     most = F.col("seen") + (F.lit(nodes) - F.col("on")) * F.lit(share - 1)
     candidates = seen.where(most >= max(bound, found)).select("value")
 
-    # Phase 3: exact counts of what is left. Spark knows the size of the written table and broadcasts it if it is small.
+    # Phase 3: exact counts of what is left.
+    if candidates.count() <= BROADCAST_CANDIDATES:
+        candidates = F.broadcast(candidates)
     return (
         values.join(candidates, "value", "left_semi")
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n_rows"))
+        .where(F.col("n_rows") >= least)
         .orderBy(F.col("n_rows").desc(), F.col("value").asc())
         .limit(k)
     )
