@@ -47,8 +47,9 @@ def percentiles(state: DataFrame, percents: Sequence[int]) -> DataFrame:
 
     ``lower`` is the smallest value with at least that share of the group's values
     at or below it; ``interpolated`` lies between the neighbouring order
-    statistics (rank ``1 + p (n - 1) / 100``) as a double. Both are exact. An empty
-    state gives no rows.
+    statistics (rank ``1 + p (n - 1) / 100``) as a double. Both are exact. States may be
+    put together by a plain union: a value may have several rows. An empty state
+    gives no rows.
     """
     groups = [c for c in state.columns if c not in ("value", "n")]
     keys = [F.col(c) for c in groups]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from strataweave.llm.heavy_hitters import top_k
 from strataweave.llm.mixing import mix
 from strataweave.llm.packing import CAPACITY, pack
-from strataweave.llm.percentiles import merge_states, percentiles, value_state
+from strataweave.llm.percentiles import percentiles, value_state
 from strataweave.llm.review import THRESHOLD, calibration_table, rates, scores
 from strataweave.llm.topn import top_n
 from strataweave.sources import table
@@ -60,12 +60,12 @@ def _price_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of salaries per department and prices per category."""
-    state = merge_states(_salary_state(spark, sf_dir), _price_state(spark, sf_dir))
+    state = _salary_state(spark, sf_dir).unionByName(_price_state(spark, sf_dir))
     return percentiles(state, [1, 10, 25, 50, 75, 90, 99]).withColumn("interpolated", F.round("interpolated", 4))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = percentiles(merge_states(_salary_state(spark, sf_dir), _price_state(spark, sf_dir)), [10, 50, 90])
+    found = percentiles(_salary_state(spark, sf_dir).unionByName(_price_state(spark, sf_dir)), [10, 50, 90])
     of = lambda p: F.max(F.when(F.col("percent") == p, F.col("lower")))
     wide = found.groupBy("field_name", "group_key").agg(F.max("n_values").alias("n"), of(10).alias("low"), of(50).alias("mid"), of(90).alias("high"))
     return wide.where("n >= 30 and (high * 2 >= mid * 5 or mid * 2 >= low * 5)").select("field_name", "group_key")

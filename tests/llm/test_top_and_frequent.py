@@ -96,3 +96,16 @@ def test_percentiles_and_merged_states(spark):
             low, between = exact(groups[g], p)
             assert r["n_values"] == len(groups[g]) and r["lower"] == low and isclose(r["interpolated"], between, rel_tol=1e-9)
     assert percentiles(value_state(df.limit(0), ["grp"], "v"), [50]).count() == 0
+
+
+def test_states_need_not_be_merged(spark):
+    df = spark.createDataFrame([("a", float(i % 9)) for i in range(100)] + [(None, 1.0)], "g string, v double")
+    parts = [value_state(df.where(c), ["g"], "v") for c in ("v < 5", "v >= 3", "v < 0")]
+    plain, merged = percentiles(parts[0].unionByName(parts[1]).unionByName(parts[2]), [0, 10, 50, 90, 100]), percentiles(merge_states(*parts), [0, 10, 50, 90, 100])
+    assert sorted(map(str, plain.collect())) == sorted(map(str, merged.collect()))
+
+
+def test_least_count(spark):
+    df = spark.createDataFrame([(v,) for v in range(20) for _ in range(v)], "v long").repartition(5)
+    assert [tuple(r) for r in top_k(df, "v", 10, 17).collect()] == [(19, 19), (18, 18), (17, 17)]
+    assert [tuple(r) for r in top_k(df, "v", 2, 17).collect()] == [(19, 19), (18, 18)] and top_k(df, "v", 5, 99).count() == 0
