@@ -238,3 +238,94 @@ def test_long_chains_are_walked_to_the_end(spark):
     start = spark.createDataFrame([("000",)], "id string")
     assert dict(rows(G.shortest_paths(e, start))) == {f"{i:03}": float(i) for i in range(n + 1)}
     assert dict(rows(G.bfs(e, start)))["030"] == 6 and len(G.dfs_order(e, "000")) == n + 1
+
+
+def test_range_lookup_edges(spark):
+    points = spark.createDataFrame([(i, p) for i, p in enumerate([None, -5, 0, 0, 3, 9, 10, 10, 99])], "i int, p int")
+    starts = spark.createDataFrame([(0, "a"), (3, "b"), (3, "c"), (10, "d"), (None, "z")], "s int, v string").repartition(3)
+    got = {r["i"]: r["v"] for r in J.range_lookup(points.repartition(4), "p", starts, "s", ["v"]).collect()}
+    assert got == {0: None, 1: None, 2: "a", 3: "a", 4: "c", 5: "c", 6: "d", 7: "d", 8: "d"}
+    assert J.range_lookup(points, "p", starts.limit(0), "s", ["v"]).where("v is null").count() == 9
+    assert J.range_lookup(points.limit(0), "p", starts, "s", ["v"]).count() == 0
+
+
+def test_range_lookup_of_one_hot_place_is_spread(spark, monkeypatch):
+    """9,900 points at one place: the written table has them in all partitions."""
+    written = []
+    monkeypatch.setattr(J, "materialize", lambda df, label, make=J.materialize: written.append(make(df, label)) or written[-1])
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        points = spark.range(10_000).selectExpr("id", "IF(id < 9900, 5, id) AS p")
+        out = J.range_lookup(points, "p", spark.range(20).selectExpr("id AS s", "id * 2 AS v"), "s", ["v"])
+        assert out.where("v <> IF(p = 5, 10, 38)").count() == 0 and out.count() == 10_000
+        sizes = [r["count"] for r in written[0].groupBy("pid_").count().collect()]
+        assert len(sizes) == 8 and max(sizes) < 2_500
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+
+
+def test_gcd_by_splits(spark):
+    df = spark.createDataFrame([("a", 12), ("a", -18), ("a", None), ("b", None), ("c", 7), ("c", 0), (None, 4), (None, 10)], "k string, v int").repartition(3)
+    assert {tuple(r) for r in A.gcd_by(df, ["k"], "v").collect()} == {("a", 6), ("b", None), ("c", 7), (None, 2)}
+    assert rows(A.gcd_by(df.where("k = 'a'"), [], "v")) == [(6,)] and A.gcd_by(df.limit(0), ["k"], "v").count() == 0
+
+
+def test_positions(spark):
+    df = spark.createDataFrame([("b", 2), ("a", 1), (None, 9), ("b", 2), ("b", 1)], "v string, place_ int").repartition(3)
+    got = rows(A.with_positions(df, ["v"]).select("place", F.coalesce("v", F.lit("-"))))
+    assert got == [(0, "-"), (1, "a"), (2, "b"), (3, "b"), (4, "b")]
+    assert [r[0] for r in A.with_positions(df, ["v"], descending=True).where("v is null").select("place").collect()] == [4]
+    assert A.with_positions(df.limit(0), ["v"]).count() == 0
+
+
+def test_conditional_sets_and_quorum(spark):
+    old = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, v int")
+    new = spark.createDataFrame([("b", 20), ("c", 30)], "k string, v int")
+    show = lambda mode: sorted(map(str, (tuple(r) for r in K.set_if(old, new, "k", mode).collect())))
+    assert show("NX") == sorted(map(str, [("a", 1), ("b", 2), (None, 3), ("c", 30)])) and show("XX") == sorted(map(str, [("a", 1), ("b", 20), (None, 3)]))
+    assert show("") == sorted(map(str, [("a", 1), ("b", 20), (None, 3), ("c", 30)]))
+    answers = spark.createDataFrame([("k", "r1", 1, 1), ("k", "r1", 2, 2), ("m", "r1", 5, 1), ("m", "r2", 6, 3), ("m", None, 9, 9)], "k string, r string, v int, n int")
+    assert rows(K.quorum_read(answers, "k", "r", "v", "n", 2)) == [("m", 6, 3)]
+    log = spark.createDataFrame([(1, True, 5), (2, True, 20), (3, False, 1), (4, True, None)], "i int, gone boolean, t int")
+    assert [r[0] for r in rows(K.cleanup_before(log, F.col("gone"), "t", F.lit(10)))] == [2, 3, 4]
+
+
+def test_estimates_of_filters(spark):
+    df = spark.createDataFrame([(i,) for i in range(1, 11)] + [(None,)] * 10, "x int")
+    of = lambda op, v: A.filter_estimate(df, "x", op, v, "exact").first()["estimate"]
+    assert of("=", 3) == pytest.approx(1) and of("=", 99) == 0 and of("<>", 3) == pytest.approx(9) and of("<", 5.5) == pytest.approx(5) and of(">", 10) == 0 and of(">=", -4) == pytest.approx(10)
+    assert A.filter_estimate(df.limit(0), "x", "=", 1).first()["selectivity"] == 0
+
+
+def test_written_tables_are_deleted_at_the_end(spark):
+    import os
+
+    from strataweave.sources import intermediates, materialize
+
+    with intermediates():
+        df = materialize(spark.range(5))
+        path = df._strataweave_path.removeprefix("file://")
+        assert os.path.isdir(path) and df.count() == 5
+    assert not os.path.exists(path)
+
+
+def test_expiry_of_each_key(spark, tmp_path):
+    from datetime import datetime as dt
+
+    at = lambda h, m=0: dt(2024, 1, 1, h, m)
+    parts = [[("a", at(1)), ("b", at(1, 30)), ("a", at(1, 10))], [("b", at(2))], [("c", at(9))], [("z", at(9, 1))]]
+    for i, p in enumerate(parts):
+        spark.createDataFrame(p, "k string, t timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+    stream = S.read_files(spark, f"{tmp_path}/in/part=*", spark.read.parquet(f"{tmp_path}/in/part=0").schema, files_per_trigger=1)
+    got = S.run_to_table(S.expiring_keys(stream, "k", "t", 3600, "0 seconds"))
+    assert rows(got) == [("a", at(2, 10)), ("b", at(3))]
+
+
+def test_latest_over_several_batches(spark, tmp_path):
+    df = spark.createDataFrame([(i % 7, i, f"v{i}") for i in range(60)], "k int, i int, v string")
+    df.repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = S.read_files(spark, f"{tmp_path}/in", df.schema, files_per_trigger=1)
+    S.keep_latest(stream, f"{tmp_path}/state", "k", ["i"], f"{tmp_path}/cp").awaitTermination()
+    assert rows(S.latest_state(spark, f"{tmp_path}/state", df.schema)) == rows(K.latest_per_key(df, "k", ["i"]))
