@@ -464,10 +464,10 @@ def _(t):
 @add(
     "filter_estimate",
     """SELECT 'equal' AS kind, count(*) AS n_rows, round(1.0 / count(DISTINCT p_size), 9) AS selectivity FROM part
-    UNION ALL SELECT 'above', count(*), round((max(p_retailprice) - 950) / (max(p_retailprice) - min(p_retailprice)), 9) FROM part""",
+    UNION ALL SELECT 'above', count(*), round((max(o_totalprice) - 200000) / (max(o_totalprice) - min(o_totalprice)), 9) FROM orders""",
 )
 def _(t):
-    equal, above = A.filter_estimate(t.part, "p_size", "=", 7, "exact"), A.filter_estimate(t.part, "p_retailprice", ">", 950.0, "exact")
+    equal, above = A.filter_estimate(t.part, "p_size", "=", 7, "exact"), A.filter_estimate(t.orders, "o_totalprice", ">", 200000.0, "exact")
     both = equal.withColumn("kind", F.lit("equal")).unionByName(above.withColumn("kind", F.lit("above")))
     return both.select("kind", "n_rows", F.round("selectivity", 9).alias("selectivity"))
 

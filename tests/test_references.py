@@ -55,13 +55,16 @@ def _most_read(spark, job):
     store = spark.sparkContext._jsc.sc().statusStore()
     quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
     stages = lambda: store.stageList(None, False, False, quantiles, None)
-    before = stages().size()
+    old = stages()  # the store drops old stages
+    last = max((old.apply(i).stageId() for i in range(old.size())), default=-1)
     job()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     got = stages()
     out = []
-    for i in range(got.size() - before):
-        stage = got.apply(i)  # newest first
+    for i in range(got.size()):
+        stage = got.apply(i)
+        if stage.stageId() <= last:
+            continue
         tasks = store.taskList(stage.stageId(), stage.attemptId(), 10_000)
         read = sorted(tasks.apply(t).taskMetrics().get().shuffleReadMetrics().recordsRead() for t in range(tasks.size()) if tasks.apply(t).taskMetrics().isDefined())
         if read and read[-1]:
