@@ -59,6 +59,8 @@ TERM_SEVERITY = 2
 FOLDS = 5
 #: Neighbours that are kept of each passage for models of parts of the sample.
 NEAR = 24
+#: Bins of the votes of all documents, from which the share of positive ones is found.
+VOTE_BINS = 1000
 _MARKS = 8_000_000
 _SEARCHED = 20_000
 THRESHOLD = 0.5
@@ -551,7 +553,8 @@ def scores(docs: DataFrame, labels: DataFrame, terms: DataFrame | None = None) -
 
     ``docs``: ``doc_id, source, text``; ``labels``: ``doc_id, verdict``; ``terms``: a
     short list, ``term, category, severity``, which is collected. ``score``, between 0
-    and 1, is the share of positive ones among labelled documents with such a vote;
+    and 1, is the expected share of positive ones among all documents with such a vote:
+    their share among labelled ones, less what these are over-represented there.
     ``score_low`` and ``score_high`` are the ends of its interval of 95 %, which is
     wide where labels are few. ``verdict`` and ``evidence`` (the folded passage) are
     null where no positive example is near; the score is 0 there. A document of the
@@ -561,12 +564,12 @@ def scores(docs: DataFrame, labels: DataFrame, terms: DataFrame | None = None) -
     positive label or term all scores are 0. An empty table gives no rows.
     """
     found = _learned(docs, labels, terms)
-    model, calibration, read = learn(found.examples, None, found.near), found.calibration, found.read
+    model, read = learn(found.examples, None, found.near), found.read
     own = {
-        d.doc_id: (_mark(d.texts()), float(v), int(k), e) for d, v, k, e in zip(found.sample, *found.votes, strict=True)
+        d.doc_id: (_mark(d.texts()), min(float(v), 1.0), int(k), e) for d, v, k, e in zip(found.sample, *found.votes, strict=True)
     }
     shared = _shared(read.sparkSession, (model, own))
-    del model, own, found
+    del model, own
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, own = shared()
@@ -580,7 +583,7 @@ def scores(docs: DataFrame, labels: DataFrame, terms: DataFrame | None = None) -
                 rows = np.flatnonzero(open_[doc])
                 s, k = model.score(texts.take(pa.array(rows)))
                 by = np.lexsort((-np.arange(len(s)), s))  # the highest, and of those the first, is written last
-                best[doc[rows[by]]], kind[doc[rows[by]]], proof[doc[rows[by]]] = s[by], k[by], rows[by]
+                best[doc[rows[by]]], kind[doc[rows[by]]], proof[doc[rows[by]]] = np.minimum(s[by], 1.0), k[by], rows[by]
             evidence = texts.take(pa.array(proof, mask=best <= 0)).to_pylist() if labelled else None
             for i, (_, v, k, e) in labelled:
                 best[i], kind[i], evidence[i] = v, k, e
@@ -589,14 +592,24 @@ def scores(docs: DataFrame, labels: DataFrame, terms: DataFrame | None = None) -
                 [
                     b["doc_id"],
                     b["source"],
-                    *(pa.array(np.where(none, 0.0, x)) for x in calibration.interval(best)),
+                    pa.array(best),
                     pa.array(VERDICTS, pa.string()).take(pa.array(kind, mask=none)),
                     texts.take(pa.array(proof, mask=none)) if evidence is None else pa.array(evidence, pa.string()),
                 ],
-                ["doc_id", "source", "score", "score_low", "score_high", "verdict", "evidence"],
+                ["doc_id", "source", "vote", "verdict", "evidence"],
             )
 
-    return read.mapInArrow(score, "doc_id long, source string, score double, score_low double, score_high double, verdict string, evidence string")
+    voted = materialize(read.mapInArrow(score, "doc_id long, source string, vote double, verdict string, evidence string"), "votes")
+    counts = voted.groupBy(F.ceil(F.col("vote") * VOTE_BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n")).orderBy("bin").collect()  # VOTE_BINS rows at most
+    bins, n = (np.array([r[c] for r in counts], float) for c in ("bin", "n"))
+    labelled = found.votes.vote, found.examples.verdict >= 0, found.examples.weight
+    calibration = found.calibration.for_all(*labelled, np.where(bins > 0, (bins - 0.5) / VOTE_BINS, 0.0), n)
+    at = np.arange(VOTE_BINS + 1)
+    level = [np.where(at > 0, x, 0.0) for x in calibration.interval((at - 0.5) / VOTE_BINS)]
+    names = ["score", "score_low", "score_high"]
+    table = docs.sparkSession.createDataFrame(pa.table([pa.array(at), *map(pa.array, level)], ["bin", *names]))  # a row a bin
+    scored = voted.withColumn("bin", F.ceil(F.col("vote") * VOTE_BINS)).join(F.broadcast(table), "bin")
+    return scored.select("doc_id", "source", *names, "verdict", "evidence")
 
 
 def calibration_table(docs: DataFrame, labels: DataFrame, terms: DataFrame | None = None) -> DataFrame:

@@ -231,15 +231,15 @@ def test_copies():
 
 def test_calibration_gives_shares():
     rng = np.random.default_rng(4)
-    votes = rng.random(4000)
-    truth = rng.random(4000) < votes**3  # votes that are too sure
-    c = Calibration.fitted(votes, truth, np.ones(4000))
+    votes = rng.random(40_000)
+    truth = rng.random(40_000) < votes**3  # votes that are too sure
+    c = Calibration.fitted(votes, truth, np.ones(40_000))
     score, low, high = c.interval(np.array([0.3, 0.5, 0.8]))
     assert np.abs(score - np.array([0.3, 0.5, 0.8]) ** 3).max() < 0.08 and (low < score).all() and (score < high).all() and (high - low).max() < 0.1
     few = Calibration.fitted(votes[:6], truth[:6], np.ones(6)).interval(np.array([0.6]))
     assert few[2][0] - few[1][0] > 0.3
     assert Calibration.fitted(np.zeros(5), np.ones(5, bool), np.ones(5)).interval(np.array([0.7]))[0][0] == pytest.approx(0.7)
-    for low, high, n, mean, share in reliability(votes, truth, np.ones(4000)):
+    for low, high, n, mean, share in reliability(votes, truth, np.ones(40_000)):
         assert low <= mean <= high and n > 0 and abs(mean - share) < 0.12
 
 
@@ -263,3 +263,32 @@ def test_kept_neighbours_give_the_same_models(spark, monkeypatch):
         monkeypatch.setattr(review, "NEAR", kept)
         quick = review.learn(x, left, review.near_passages(spark, x))
         assert np.allclose(plain.positive, quick.positive) and np.allclose(plain.clean, quick.clean)
+
+
+def test_scores_hold_for_all_documents_where_positive_ones_are_labelled_more_often():
+    """Positive documents are 4 % of all, and half of the labelled ones."""
+    rng = np.random.default_rng(8)
+    draw = lambda bad: np.where(bad, rng.beta(4, 2, len(bad)), rng.beta(2, 4, len(bad)))
+    labelled = rng.random(2000) < 0.5
+    votes = draw(labelled)
+    every = rng.random(50_000) < 0.04
+    all_votes = draw(every)
+    fitted = Calibration.fitted(votes, labelled, np.ones(2000))
+    moved = fitted.for_all(votes, labelled, np.ones(2000), all_votes, np.ones(50_000))
+    before, after = fitted.interval(all_votes)[0].mean(), moved.interval(all_votes)[0].mean()
+    assert before > 0.15 and abs(after - 0.04) < 0.015
+    high = moved.interval(all_votes)[0] > 0.4
+    assert abs(moved.interval(all_votes)[0][high].mean() - every[high].mean()) < 0.2
+    assert fitted.for_all(votes[:0], labelled[:0], np.ones(0), all_votes, np.ones(50_000)) is fitted
+
+
+def test_the_middle_of_the_votes_is_calibrated_by_itself():
+    """Sure at both ends, and clean in the middle: a logistic curve alone would not see it."""
+    rng = np.random.default_rng(9)
+    votes = np.r_[rng.uniform(0.001, 0.05, 3000), rng.uniform(0.35, 0.5, 120), rng.uniform(0.85, 0.99, 1500)]
+    truth = np.r_[np.zeros(3000), rng.random(120) < 0.1, np.ones(1500)].astype(bool)
+    c = Calibration.fitted(votes, truth, np.ones(len(votes)))
+    score = c.interval(np.array([0.02, 0.42, 0.93]))[0]
+    assert score[0] < 0.05 and abs(score[1] - 0.1) < 0.08 and score[2] > 0.95
+    grid = c.interval(np.linspace(0.001, 0.999, 500))[0]
+    assert (np.diff(grid) >= -1e-12).all()
