@@ -194,9 +194,10 @@ def correlations(df: DataFrame, columns: Sequence[str], least: float = 0.0) -> D
     return wide.select(F.inline(F.array(*rows))).where(F.abs("r") >= least)
 
 
-def join_cardinality(left: DataFrame, right: DataFrame, on: tuple[str, str]) -> DataFrame:
+def join_cardinality(left: DataFrame, right: DataFrame, on: tuple[str, str], distinct: str = "approximate") -> DataFrame:
     """``n_left, n_right, d_left, d_right, estimate``: rows times rows over the larger number of distinct keys."""
-    a = left.agg(F.count(on[0]).alias("n_left"), F.approx_count_distinct(on[0]).alias("d_left"))
-    b = right.agg(F.count(on[1]).alias("n_right"), F.approx_count_distinct(on[1]).alias("d_right"))
+    d = F.approx_count_distinct if distinct == "approximate" else F.countDistinct
+    a = left.agg(F.count(on[0]).alias("n_left"), d(on[0]).alias("d_left"))
+    b = right.agg(F.count(on[1]).alias("n_right"), d(on[1]).alias("d_right"))
     n = F.col("n_left") * F.col("n_right") / F.greatest("d_left", "d_right", F.lit(1))
     return a.join(b, F.lit(True)).withColumn("estimate", n)
