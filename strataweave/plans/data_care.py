@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataweave.operators.keyed_totals import keyed_totals
-from strataweave.operators.profile import Rule, load_discrimination, load_findings, profile
+from strataweave.operators.profile import Rule, findings_with_evidence, in_rank, load_discrimination, profile, without_evidence
 from strataweave.operators.references import alive_intervals, orphan_counts, orphan_references
 from strataweave.sources import table
 
@@ -75,7 +75,12 @@ def _details(spark: SparkSession, sf_dir: str):
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_findings(*_products(spark, sf_dir)).unionByName(load_findings(*_details(spark, sf_dir)))
+    return without_evidence(p6_ranked(spark, sf_dir))
+
+
+def p6_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings of both tables as one list in the classifier's order, with its figures."""
+    return in_rank(findings_with_evidence(*_products(spark, sf_dir)).unionByName(findings_with_evidence(*_details(spark, sf_dir))))
 
 
 def p6_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,6 +146,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_totals": p5_totals,
     "p6_found": p6_found,
+    "p6_ranked": p6_ranked,
     "p6_profile": p6_profile,
     "p6_load_discrimination": p6_load_discrimination,
 }

@@ -5,6 +5,7 @@ import pytest
 
 from strataweave.operators.profile import Rule, load_discrimination, load_findings, profile
 from strataweave.operators.two_sample import _fit, _Rows, _sums, discrimination
+from strataweave.plans import data_care
 
 RULES = (Rule("x", 0, 1000, open_low=True), Rule("s", allowed=("a", "b")))
 SCHEMA = "id int, load_id int, x double, s string, bin int, n int, ci int"
@@ -108,3 +109,27 @@ def test_fitted_models_have_no_slope_left():
     beta = _fit((2, 3, 8), lambda b: _sums(rows, b, variants))
     slope = _sums(rows, beta, variants)[:, :-1, 1:] + 1.0 * beta
     assert np.abs(slope).max() < 1e-5 * 4000
+
+
+@pytest.mark.parametrize("later", ["products", "order_details"])
+def test_findings_of_both_tables_are_one_list_by_the_classifier(spark, tmp_path, later):
+    """In ``later`` all numbers move, in the other table 1 % of them: both shift, and the table that moved more comes first."""
+    part = lambda load, low: spark.range(2000).selectExpr(f"{load} AS load_id", "int(id) AS id", f"IF(id < {low}, 10, 20) AS x")
+    for name in ("products", "order_details"):
+        first, second = (2000, 0) if name == later else (1010, 990)
+        both = part(1, first).unionByName(part(2, second))
+        shape = ("id", "load_id", "CAST(id % 7 + 1 AS DOUBLE) AS price", "x AS stock") if name == "products" else ("id AS order_id", "id AS product_id", "load_id", "x AS quantity", "elt(id % 4 + 1, 'Pending', 'Shipped', 'Delivered', 'Cancelled') AS status")
+        both.selectExpr(*shape).write.parquet(f"{tmp_path}/{name}.parquet")
+    shifts = {"products": ("products", "stock", 2, "shift"), "order_details": ("order_details", "quantity", 2, "shift")}
+    got = [tuple(r) for r in data_care.p6_found(spark, str(tmp_path)).collect()]
+    moved = [g for g in got if g[3] == "shift"]
+    assert moved[0] == shifts[later] and set(moved) == set(shifts.values())
+    figures = {(r["table_name"], r["column_name"], r["load_id"]): r for r in data_care.p6_load_discrimination(spark, str(tmp_path)).collect()}
+    ranked = data_care.p6_ranked(spark, str(tmp_path)).collect()
+    assert [tuple(r)[:4] for r in ranked] == got
+    for r in ranked:
+        known = figures.get(tuple(r)[:3])
+        assert all(r[c] == (known and pytest.approx(known[c])) for c in ("auc_all", "auc_without", "auc_alone", "auc_gain", "auc_error"))
+    gains = [r["auc_gain"] for r in ranked]
+    with_gain = [g for g in gains if g is not None]
+    assert with_gain == sorted(with_gain, reverse=True) and gains == with_gain + [None] * (len(gains) - len(with_gain)) and None in gains
