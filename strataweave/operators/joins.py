@@ -17,6 +17,10 @@ ALGORITHMS = {"HASH": "shuffle_hash", "MERGE": "merge", "NESTED_LOOP": "shuffle_
 #: Largest side, by Spark's estimate, that a request for a broadcast join may broadcast.
 BROADCAST_BYTES = 256 * 1024 * 1024
 
+#: Largest product of both sides' bytes, by Spark's estimate, for which a request for nested loops may compare every pair: as of two
+#: sides of 128 KiB.
+NESTED_LOOP_PRODUCT = (128 * 1024) ** 2
+
 
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's estimate of the size of a result; without statistics it is the size of the files read, or larger."""
@@ -29,13 +33,20 @@ def equi_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]],
     Columns that both sides have get the prefix ``right_`` on the right, so no
     column is ambiguous. ``AUTO`` leaves the choice to Spark and its size checks.
     ``BROADCAST`` and ``INDEX`` broadcast the right side if it is estimated at
-    ``BROADCAST_BYTES`` or less, else they leave the choice to Spark. Semi and anti
-    joins keep the left columns only.
+    ``BROADCAST_BYTES`` or less, else they leave the choice to Spark. ``NESTED_LOOP``
+    compares every pair, so it does the same beyond ``NESTED_LOOP_PRODUCT``; the rows
+    are the same either way. Semi and anti joins keep the left columns only.
     """
     names = {c: f"right_{c}" if c in left.columns else c for c in right.columns}
     renamed = right.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
     hint = ALGORITHMS[algorithm.upper()]
-    if hint and (hint != "broadcast" or estimated_bytes(renamed) <= BROADCAST_BYTES):
+    if hint == "broadcast":
+        fits = estimated_bytes(renamed) <= BROADCAST_BYTES
+    elif hint == "shuffle_replicate_nl":
+        fits = estimated_bytes(left) * estimated_bytes(renamed) <= NESTED_LOOP_PRODUCT
+    else:
+        fits = True
+    if hint and fits:
         renamed = renamed.hint(hint)
     cond = reduce(Column.__and__, [left[a] == renamed[names[b]] for a, b in on])
     return left.join(renamed, cond, how)

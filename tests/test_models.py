@@ -123,6 +123,14 @@ def test_joins_on_edges(spark):
     assert both.columns == ["k", "t", "right_k", "at", "v"] and both.where("k is null and right_k is null").count() == 2  # one of each side
 
 
+@pytest.mark.parametrize(("n", "loops"), [(100, True), (200_000, False)])
+def test_nested_loops_only_over_few_pairs(spark, n, loops):
+    left, right = spark.range(n).withColumnRenamed("id", "a"), spark.range(n).select(F.col("id").alias("b"), (F.col("id") % 10).alias("v"))
+    out = J.equi_join(left, right, [("a", "b")], "inner", "NESTED_LOOP")
+    assert ("CartesianProduct" in out._jdf.queryExecution().sparkPlan().toString()) == loops
+    assert out.count() == n and out.where("a <> b").count() == 0
+
+
 def test_gcd_and_histograms(spark):
     df = spark.createDataFrame([("a", 12), ("a", -18), ("a", None), ("b", None), ("c", 7), ("c", 0)], "k string, v int")
     assert rows(df.groupBy("k").agg(gcd_agg("v").alias("g"))) == [("a", 6), ("b", None), ("c", 7)]
