@@ -52,6 +52,23 @@ def equi_join(left: DataFrame, right: DataFrame, on: Sequence[tuple[str, str]],
     return left.join(renamed, cond, how)
 
 
+def not_in(left: DataFrame, right: DataFrame, on: tuple[str, str]) -> DataFrame:
+    """Left rows whose key is NOT IN the right column, with SQL's nulls, as an anti join that may be shuffled.
+
+    Spark's own NOT IN broadcasts the right column whatever its size. Here a count of
+    its nulls comes first, -1 if it is empty: over an empty right side every left row
+    is kept, over one with a null none is, and else the left rows with a key that is
+    not null and has no equal; the others are dropped before the shuffle. The right
+    keys are made distinct where they are read, so a hot one sends a row a split.
+    """
+    key = f"`{on[0]}`"
+    values = right.select(F.col(f"`{on[1]}`").alias("value_"))
+    rows, known = F.count(F.lit(1)), F.count("value_")
+    nulls = values.agg(F.when(rows == 0, -1).otherwise(rows - known).alias("nulls_")).scalar()
+    rest, values = left.where(nulls <= F.when(F.col(key).isNotNull(), 0).otherwise(-1)), values.distinct()
+    return rest.join(values, rest[key] == values["value_"], "left_anti")
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: Sequence[str], left_time: str, right_time: str, values: Sequence[str]) -> DataFrame:
     """To each left row, ``values`` of the right row with the latest time at or before the left time.
 

@@ -132,7 +132,7 @@ def _(t):
 
 @add("not_in_subquery", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def _(t):
-    return t.sql("SELECT o_orderkey FROM {orders} WHERE o_orderkey NOT IN (SELECT l_orderkey FROM {lineitem})", "orders", "lineitem")
+    return J.not_in(t.orders, t.lineitem, ("o_orderkey", "l_orderkey")).select("o_orderkey")
 
 
 @add("exists_corr", "SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity > 49 AND l.l_discount > 0.09)")

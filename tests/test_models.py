@@ -131,6 +131,30 @@ def test_nested_loops_only_over_few_pairs(spark, n, loops):
     assert out.count() == n and out.where("a <> b").count() == 0
 
 
+@pytest.mark.parametrize("values", [[], [None], [1, None], [1, 1, 5], [7]])
+def test_not_in_as_sql_has_it(spark, values):
+    left = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (None, "e")], "k int, v string")
+    right = spark.createDataFrame([(v,) for v in values], "k bigint")
+    want = spark.sql("SELECT * FROM {left} WHERE k NOT IN (SELECT k FROM {right})", left=left, right=right)
+    out = J.not_in(left, right, ("k", "k"))
+    assert out.columns == ["k", "v"] and sorted(map(str, out.collect())) == sorted(map(str, want.collect()))
+    assert J.not_in(left, left, ("k", "k")).count() == 0
+    known = left.where("k is not null").withColumnRenamed("k", "value_")
+    assert J.not_in(known, known.where("v = 'a'"), ("value_", "value_")).count() == 1
+
+
+def test_not_in_broadcasts_no_column(spark):
+    from strataweave.plans.relational import QUERIES
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES["not_in_subquery"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_gcd_and_histograms(spark):
     df = spark.createDataFrame([("a", 12), ("a", -18), ("a", None), ("b", None), ("c", 7), ("c", 0)], "k string, v int")
     assert rows(df.groupBy("k").agg(gcd_agg("v").alias("g"))) == [("a", 6), ("b", None), ("c", 7)]
